@@ -1,0 +1,98 @@
+"""Balanced joins and connected components against plain computations."""
+
+import random
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from clubledger.operators.components import connected_components
+from clubledger.operators.skew import heavy_keys, list_join, row_counts, skew_join
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """A third of the rows on one key, a third without a key."""
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 40)
+    return spark.range(600).select("id", key.cast("bigint").alias("key")).persist()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("rows_per_task", [5, 1_000_000])
+def test_skew_join_equals_plain_join(spark, hot, how, rows_per_task):
+    lookup = spark.range(0, 30).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    columns = ["id", "key"] + (["value"] if how in ("inner", "left") else [])
+    balanced = skew_join(hot, lookup, "key", "id", how, rows_per_task=rows_per_task)
+    plain = hot.join(lookup, "key", how)
+    assert rows_of(balanced, *columns) == rows_of(plain, *columns)
+    for limit in (1000, 3):
+        listed = list_join(hot, lookup, "key", "id", how, rows_per_task, limit)
+        assert rows_of(listed, *columns) == rows_of(plain, *columns)
+
+
+def test_hot_key_is_split(hot):
+    heavy = {r.key: r.splits for r in heavy_keys(row_counts(hot, "key"), "key", 50).collect()}
+    # 200 rows by the first rule and 5 more by the second.
+    assert heavy == {7: 5}
+
+
+def test_struct_keys_match_with_missing_parts(spark):
+    left = spark.createDataFrame([(1, "a", None), (2, None, None), (3, "b", "x")], "id int, a string, b string")
+    right = spark.createDataFrame([("a", None, 10), (None, None, 20)], "a string, b string, v int")
+    keyed_left = left.select("id", F.struct("a", "b").alias("key"))
+    keyed_right = right.select(F.struct("a", "b").alias("key"), "v")
+    assert rows_of(skew_join(keyed_left, keyed_right, "key", "id", "inner"), "id", "v") == [(1, 10), (2, 20)]
+
+
+def union_find(edges):
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = root(a), root(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    return {x: root(x) for x in parent}
+
+
+def components_of(spark, edges, rows_per_task=1_000_000):
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    found = connected_components(table, rows_per_task).collect()
+    assert len(found) == len({r.node for r in found})
+    return {r.node: r.component for r in found}
+
+
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [(i, i + 1) for i in range(40)],
+        [(0, i) for i in range(1, 60)] + [(100, i) for i in range(60, 70)],
+        [(5, 5), (9, 8), (8, 9)],
+        [(i, 50 - i) for i in range(25)] + [(i, i + 7) for i in range(0, 40, 9)],
+    ],
+)
+@pytest.mark.parametrize("rows_per_task", [3, 1_000_000])
+def test_components(spark, edges, rows_per_task):
+    assert components_of(spark, edges, rows_per_task) == union_find(edges)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=40))
+def test_components_of_random_graphs(spark, edges):
+    assert components_of(spark, edges) == union_find(edges)
+
+
+def test_shuffled_path(spark):
+    names = list(range(200))
+    random.Random(1).shuffle(names)
+    edges = list(zip(names, names[1:], strict=False))
+    assert set(components_of(spark, edges).values()) == {0}

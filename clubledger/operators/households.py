@@ -10,10 +10,11 @@ from clubledger.operators.components import connected_components
 from clubledger.operators.families import families_with_value, family_sizes
 from clubledger.operators.skew import (
     ROWS_PER_TASK,
-    heavy_keys,
+    heavy_rows,
     list_join,
     row_counts,
     skew_join,
+    table_join,
 )
 from clubledger.session import write_through
 
@@ -74,25 +75,32 @@ def household_list(
     if "member_order" not in people.columns:
         people = with_household(people).withColumn("member_order", F.struct("pos"))
     sizes = row_counts(people, "household")
-    heavy = F.broadcast(heavy_keys(sizes, "household", people_per_row).select("household"))
+    heavy = heavy_rows(sizes, people_per_row).select("household")
+    all_small = heavy.isEmpty()
+    heavy = F.broadcast(heavy)
     address = F.min(F.struct("member_order", "street", "plz", "city")).alias("first")
     surnames = joined_distinct("last_name").alias("names")
     label = person_label(number=False).alias("label")
-    listed = F.array_sort(F.collect_list(F.struct("member_order", label))).alias("listed")
-
-    small = people.join(heavy, "household", "left_anti").groupBy("household")
-    small = small.agg(address, surnames, listed)
+    listed = F.sort_array(F.collect_list(F.struct("member_order", label))).alias("listed")
     family_name = F.concat(F.lit("Fam. "), F.col("names"))
-    alone = F.size("listed") == 1
-    small = small.withColumn(
-        "name", F.when(alone, F.col("listed")[0]["label"]).otherwise(family_name)
-    )
 
     # Blocks follow the order within the household: link position, then position.
     links = [f for f in people.schema["member_order"].dataType.fieldNames() if f != "pos"]
     pos_type = people.schema["pos"].dataType.simpleString()
     block = _block(F.col("pos"), pos_type, people_per_row).alias("block")
     part = F.struct(*[F.col(f"member_order.{f}").alias(f) for f in links], block)
+    no_part = F.lit(None).cast(people.select(part).schema[0].dataType).alias("part")
+
+    small = people if all_small else people.join(heavy, "household", "left_anti")
+    alone = F.size("listed") == 1
+    small = (
+        small.groupBy("household")
+        .agg(address, surnames, listed)
+        .withColumn("name", F.when(alone, F.col("listed")[0]["label"]).otherwise(family_name))
+    )
+    if all_small:
+        return _printed(small, no_part)
+
     large = people.join(heavy, "household", "left_semi")
     heads = large.groupBy("household").agg(address, surnames)
     blocks = large.groupBy("household", part.alias("part")).agg(listed)
@@ -101,7 +109,6 @@ def household_list(
         blocks, heads, "household", "part", "inner", n_blocks, rows_per_task=1000
     ).withColumn("name", family_name)
 
-    no_part = F.lit(None).cast(large.schema["part"].dataType).alias("part")
     return _printed(small, no_part).unionByName(_printed(large, F.col("part")))
 
 
@@ -124,7 +131,7 @@ def combine_housemates(
     Adds ``household`` and ``member_order`` to the people.
     """
     people = with_household(people)
-    links = links.where(F.col("member_number").isNotNull())
+    links = write_through(links.where(F.col("member_number").isNotNull()), "links")
     # One household per listed number. Where several people carry the number, the
     # household seen first in the file counts.
     wanted = links.select("member_number").distinct()
@@ -143,9 +150,7 @@ def combine_housemates(
         .agg(F.min("pos").alias("first_pos"), F.min("person_id").alias("node"))
     )
     found = write_through(
-        skew_join(
-            candidates, seen, "household", "member_number", "inner", rows_per_task=rows_per_task
-        )
+        table_join(candidates, seen, "household", "member_number", "inner", rows_per_task)
         .groupBy("member_number")
         .agg(F.min_by(F.struct("household", "node"), "first_pos").alias("found"))
         .select("member_number", "found.household", "found.node"),
@@ -154,14 +159,14 @@ def combine_housemates(
     link_id = ["group_pos", "member_pos"]
     nodes = found.select("member_number", "node")
     listed = write_through(
-        skew_join(
-            links, nodes, "member_number", link_id, "inner", rows_per_task=rows_per_task
-        ).select(*link_id, "node"),
+        table_join(links, nodes, "member_number", link_id, "inner", rows_per_task).select(
+            *link_id, "node"
+        ),
         "listed",
     )
     # Every household of a group is tied to the first one found.
     heads = listed.groupBy("group_pos").agg(F.min_by("node", "member_pos").alias("head"))
-    ties = skew_join(listed, heads, "group_pos", link_id, "inner", rows_per_task=rows_per_task)
+    ties = table_join(listed, heads, "group_pos", link_id, "inner", rows_per_task)
     edges = ties.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     components = connected_components(edges, rows_per_task)
     first_link = listed.groupBy("node").agg(F.min(F.struct(*link_id)).alias("link"))

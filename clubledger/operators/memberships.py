@@ -21,6 +21,7 @@ from clubledger.constants import (
 from clubledger.functions.people import is_youth_group
 from clubledger.operators.addresses import address_columns, role_label
 from clubledger.operators.skew import skew_join
+from clubledger.session import write_through
 
 
 def is_coach_row() -> Column:
@@ -192,17 +193,17 @@ def overlap_cells(memberships: DataFrame) -> DataFrame:
     )
     patterns = (
         entries.groupBy("person_id")
-        .agg(F.array_sort(F.collect_list(F.struct("riege", "k"))).alias("entries"))
+        .agg(F.sort_array(F.collect_list(F.struct("riege", "k"))).alias("entries"))
         .groupBy("entries")
         .agg(F.count(F.lit(1)).alias("people"))
     )
     return (
-        patterns.select(
-            F.explode("entries").alias("a"), F.col("entries.riege").alias("others"), "people"
+        patterns.select(F.explode("entries").alias("a"), "entries", "people")
+        .select(
+            F.col("a.riege").alias("riege"),
+            F.explode("entries.riege").alias("other"),
+            (F.col("a.k") * F.col("people")).alias("n"),
         )
-        .groupBy(F.col("a.riege").alias("riege"), "others")
-        .agg(F.sum(F.col("a.k") * F.col("people")).alias("n"))
-        .select("riege", F.explode("others").alias("other"), "n")
         .groupBy("riege", "other")
         .agg(F.sum("n").alias("n"))
     )
@@ -210,7 +211,7 @@ def overlap_cells(memberships: DataFrame) -> DataFrame:
 
 def overlap_matrix(memberships: DataFrame) -> DataFrame:
     """The full matrix in long form, zero cells included."""
-    cells = overlap_cells(memberships)
+    cells = write_through(overlap_cells(memberships), "cells")
     # A group always overlaps itself, so its name appears among the cells.
     names = cells.agg(F.collect_set("riege")).scalar()
     zeros = cells.select("riege").distinct().select(

@@ -13,28 +13,38 @@ ROWS_PER_TASK = 1_000_000
 # can ever be listed, whatever the size of the data. A key below that fraction
 # is a small part of the load of a task on any cluster of fewer cores.
 MAX_HEAVY_KEYS = 100_000
-# Rows without a key match nothing; they are only spread out.
-NULL_KEY_SPREAD = 1_000_003
 # A lookup table of at most this many (short) rows is sent to every executor.
 MAX_BROADCAST_ROWS = 500_000
 
 
-def row_counts(rows: DataFrame, key: str) -> DataFrame:
-    """Rows per key, combined before the shuffle."""
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def row_counts(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows per key as column ``n``, combined before the shuffle."""
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def heavy_keys(counts: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys too large for one task, from a ``(key, n)`` table of row counts.
+def heavy_rows(counts: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows of a table with counts ``n`` that stand for more than ``limit``
+    rows each and for at least 1/``MAX_HEAVY_KEYS`` of the total.
 
-    ``splits`` is the number of parts each must be cut into. The result has at
-    most ``MAX_HEAVY_KEYS`` rows because every listed key holds at least that
-    fraction of the total, so it may be broadcast.
+    There can be no more than ``MAX_HEAVY_KEYS`` of them, so they may be broadcast.
     """
     total = counts.agg(F.sum("n")).scalar()
-    return counts.where(
-        F.col(key).isNotNull() & (F.col("n") > rows_per_task) & (F.col("n") * MAX_HEAVY_KEYS >= total)
-    ).select(key, F.ceil(F.col("n") / rows_per_task).alias("splits"))
+    return counts.where((F.col("n") > limit) & (F.col("n") * MAX_HEAVY_KEYS >= total))
+
+
+def heavy_hashes(rows: DataFrame, key: str, limit: int = ROWS_PER_TASK) -> DataFrame:
+    """``(key_hash, splits)`` of the keys too large for one task.
+
+    Two numbers per key, so the size is bounded however wide the keys are. Keys
+    with the same hash are split alike, which does no harm.
+    """
+    counts = row_counts(rows.select(F.xxhash64(key).alias("key_hash")), "key_hash")
+    return _splits(counts, limit)
+
+
+def _splits(counts: DataFrame, limit: int) -> DataFrame:
+    splits = F.ceil(F.col("n") / limit).alias("splits")
+    return heavy_rows(counts, limit).select("key_hash", splits)
 
 
 def skew_join(
@@ -48,26 +58,51 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join ``rows`` (any number per key) with ``lookup`` (one row per key).
 
-    Rows of a heavy key are cut into parts by a hash of ``row_id``, which must
-    tell them apart, and the one lookup row is repeated per part. All other keys
-    stay in a single part, so the shuffle carries nothing extra for them.
+    The rows are counted per key first. Without a heavy key this is a plain join.
+    Otherwise rows of a heavy key are cut into parts by a hash of ``row_id``,
+    which must tell them apart, and the one lookup row is repeated per part; all
+    other keys stay in a single part, so the shuffle carries nothing extra for
+    them. Rows without a key count as one more key where they are kept.
     ``counts`` may pass row counts ``(key, n)`` that are already known.
     """
-    if counts is None:
-        counts = row_counts(rows, key)
-    heavy = F.broadcast(heavy_keys(counts, key, rows_per_task))
+    if counts is not None:
+        hashed = counts.select(F.xxhash64(key).alias("key_hash"), "n")
+        heavy = _splits(hashed.groupBy("key_hash").agg(F.sum("n").alias("n")), rows_per_task)
+    elif how in ("inner", "left_semi"):
+        heavy = heavy_hashes(rows.where(F.col(key).isNotNull()), key, rows_per_task)
+    else:
+        heavy = heavy_hashes(rows, key, rows_per_task)
+    if heavy.isEmpty():
+        return rows.join(lookup, key, how)
+    heavy = F.broadcast(heavy)
     ids = [row_id] if isinstance(row_id, str) else list(row_id)
-    hashed = F.xxhash64(*ids)
-    part = F.when(F.col(key).isNull(), F.pmod(hashed, F.lit(NULL_KEY_SPREAD))).otherwise(
-        F.coalesce(F.pmod(hashed, "splits"), F.lit(0))
-    )
+    part = F.coalesce(F.pmod(F.xxhash64(*ids), "splits"), F.lit(0))
     one = F.lit(1).cast("bigint")
     parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("splits", one) - one)
-    left = rows.join(heavy, key, "left").withColumn("_part", part).drop("splits")
-    right = lookup.join(heavy, key, "left").withColumn("_part", F.explode(parts)).drop("splits")
+
+    def with_splits(table: DataFrame) -> DataFrame:
+        return table.withColumn("key_hash", F.xxhash64(key)).join(heavy, "key_hash", "left")
+
+    left = with_splits(rows).withColumn("_part", part).drop("key_hash", "splits")
+    right = with_splits(lookup).withColumn("_part", F.explode(parts)).drop("key_hash", "splits")
     return left.join(right, [key, "_part"], how).drop("_part")
 
 
+def table_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    row_id: str | Sequence[str],
+    how: str = "left",
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """``skew_join`` for rows that are a written table, whose size is cheap to ask:
+    one that fits a single task needs no counting per key."""
+    if rows.count() <= rows_per_task:
+        return rows.join(lookup, key, how)
+    return skew_join(rows, lookup, key, row_id, how, rows_per_task=rows_per_task)
+
+
 def list_join(
     rows: DataFrame,
     lookup: DataFrame,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +91,9 @@ def assembly_lists(people: DataFrame, assembly_year: int) -> DataFrame:
         rules[f"jubilare_{years}"] = adult & year_of(entry, assembly_year - years)
     rules["jugenduebertritte"] = youth & year_of(birthday, assembly_year - ADULT_AGE_OFFSET)
     names = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
-    return people.where(adult | youth).withColumn("list_name", F.explode(names))
+    # The filter repeats the rules for the scan to see.
+    on_any = reduce(lambda a, b: a | b, rules.values())
+    return people.where(on_any).withColumn("list_name", F.explode(names))
 
 
 def without_email(people: DataFrame) -> DataFrame:

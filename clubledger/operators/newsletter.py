@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clubledger.constants import (
@@ -18,6 +18,7 @@ from clubledger.functions.people import (
     joined_distinct,
     python_bool_text,
 )
+from clubledger.operators.skew import ROWS_PER_TASK, split_heavy
 
 NEWSLETTER_COLUMNS = [
     "firstname",
@@ -29,37 +30,54 @@ NEWSLETTER_COLUMNS = [
 ]
 
 
-def newsletter_rows(people: DataFrame, as_of: dt.date) -> DataFrame:
+def with_address(people: DataFrame) -> DataFrame:
+    return people.where(F.col("email").isNotNull() & (F.col("email") != ""))
+
+
+def _flag(condition: Column) -> Column:
+    return F.coalesce(F.bool_or(condition), F.lit(False))
+
+
+def newsletter_rows(
+    people: DataFrame, as_of: dt.date, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """One row per non-empty address with joined names, gender and category flags.
 
-    Two steps. The first removes repeats on the full tuple, which spreads an
-    address used by very many people over all tasks. The second only merges the
-    distinct tuples that are left into one row per address.
+    As a rule a single aggregation by address. The names of an address used by
+    very many people are reduced to the distinct ones first, spread over all
+    tasks by address and name, so that only those meet in one place.
     """
-    distinct = (
-        people.where(F.col("email").isNotNull() & (F.col("email") != ""))
-        .select(
-            "email",
-            "first_name",
-            "last_name",
-            gender_key(F.col("gender")).alias("gender"),
-            "category",
-        )
-        .distinct()
+    reached = with_address(people).select(
+        F.col("email").alias("Email"),
+        "first_name",
+        "last_name",
+        gender_key(F.col("gender")).alias("gender"),
+        "category",
     )
-
-    def flag(condition):
-        return F.coalesce(F.bool_or(condition), F.lit(False))
-
-    rows = distinct.groupBy(F.col("email").alias("Email")).agg(
-        joined_distinct("first_name").alias("firstname"),
-        joined_distinct("last_name").alias("lastname"),
-        *[flag(F.col("gender") == g).alias(g) for g in GENDER_FLAGS],
-        *[flag(F.col("category") == v).alias(k) for k, v in NEWSLETTER_CATEGORIES.items()],
+    flags = [
+        *[_flag(F.col("gender") == g).alias(g) for g in GENDER_FLAGS],
+        *[_flag(F.col("category") == v).alias(k) for k, v in NEWSLETTER_CATEGORIES.items()],
+    ]
+    names = {"firstname": "first_name", "lastname": "last_name"}
+    usual, crowded = split_heavy(reached, "Email", rows_per_task)
+    rows = usual.groupBy("Email").agg(
+        *[joined_distinct(c).alias(n) for n, c in names.items()], *flags
     )
+    if crowded is not None:
+        gathered = crowded.groupBy("Email").agg(*flags)
+        for name, column in names.items():
+            distinct = crowded.select("Email", column).distinct()
+            joined = F.array_join(F.sort_array(F.collect_list(column)), " & ")
+            gathered = gathered.join(distinct.groupBy("Email").agg(joined.alias(name)), "Email")
+        rows = rows.unionByName(gathered)
     return rows.withColumn("updated", F.lit(as_of)).select(*NEWSLETTER_COLUMNS)
 
 
+def newsletter_emails(people: DataFrame) -> DataFrame:
+    """Just the addresses of the newsletter table, as ``email``."""
+    return with_address(people).select("email").distinct()
+
+
 def newsletter_text(rows: DataFrame) -> DataFrame:
     """The newsletter table as it is printed: ``True``/``False`` and day-first dates."""
     booleans = {f.name for f in rows.schema if f.dataType.typeName() == "boolean"}

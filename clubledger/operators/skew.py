@@ -42,6 +42,23 @@ def heavy_hashes(rows: DataFrame, key: str, limit: int = ROWS_PER_TASK) -> DataF
     return _splits(counts, limit)
 
 
+def split_heavy(
+    rows: DataFrame, key: str, limit: int = ROWS_PER_TASK
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary keys and those of keys too large for one task.
+
+    The second part is ``None`` if there are none, and may hold the rows of a few
+    ordinary keys that have the hash of a heavy one.
+    """
+    heavy = heavy_hashes(rows, key, limit).select("key_hash")
+    if heavy.isEmpty():
+        return rows, None
+    hashed, heavy = rows.withColumn("key_hash", F.xxhash64(key)), F.broadcast(heavy)
+    return tuple(
+        hashed.join(heavy, "key_hash", how).drop("key_hash") for how in ("left_anti", "left_semi")
+    )
+
+
 def _splits(counts: DataFrame, limit: int) -> DataFrame:
     splits = F.ceil(F.col("n") / limit).alias("splits")
     return heavy_rows(counts, limit).select("key_hash", splits)
@@ -117,6 +134,6 @@ def list_join(
     The list is counted first. A small one is broadcast and ``rows`` are not
     shuffled at all; beyond the limit the join is done by ``skew_join``.
     """
-    if lookup.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+    if lookup.count() <= max_broadcast_rows:
         return rows.join(F.broadcast(lookup), key, how)
     return skew_join(rows, lookup, key, row_id, how, rows_per_task=rows_per_task)

@@ -18,7 +18,11 @@ from clubledger.operators.households import (
     household_list,
     sorted_household_list,
 )
-from clubledger.operators.newsletter import newsletter_rows, receiver_payload
+from clubledger.operators.newsletter import (
+    newsletter_emails,
+    newsletter_rows,
+    receiver_payload,
+)
 from clubledger.operators.statistics import club_statistics, statistics_text
 from clubledger.operators.sync import change_log, synced_snapshot
 from clubledger.plans.main_people import main_people
@@ -106,7 +110,7 @@ class Ledger:
     # -- synchronisation -------------------------------------------------------
     def sync(self, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Change log and new snapshot of the mailing service."""
-        incoming = self.newsletter().select(F.col("Email").alias("email"))
+        incoming = newsletter_emails(self.people)
         return (
             change_log(snapshot, incoming, self.as_of),
             synced_snapshot(snapshot, incoming, self.as_of),

@@ -23,6 +23,7 @@ from clubledger.operators import byexample, families, filters, households, membe
 from clubledger.operators.addresses import address_list
 from clubledger.operators.newsletter import (
     attribute_names,
+    newsletter_emails,
     newsletter_rows,
     newsletter_text,
     payload_attributes,
@@ -375,7 +376,7 @@ def prepared_newsletter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- synchronisation -----------------------------------------------------------
 def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return newsletter_rows(_main(spark, sf_dir), AS_OF).select(F.col("Email").alias("email"))
+    return newsletter_emails(_main(spark, sf_dir))
 
 
 @query

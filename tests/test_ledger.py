@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from clubledger.__main__ import parse, run
 from clubledger.operators.quality import DataQualityError
 from clubledger.plans.ledger import load_ledger
 from clubledger.sources.exports import read_group_rows, read_housemates, read_table
@@ -243,3 +244,22 @@ def test_positions_follow_the_file_across_blocks(spark, tmp_path):
         assert sizes.agg(F.max("count")).first()[0] <= 10
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_command_line(spark, club, tmp_path):
+    files = [f"--{k}={v}" for k, v in club.items()]
+    common = [*files, f"--out={tmp_path}", "--as-of=2024-02-28"]
+    run(spark, parse(["youth_born_in", "--year=1998", *common]))
+    assert [r["Vorname"] for _, r in read_csv(tmp_path / "youth_born_in")] == ["Dario"]
+    snapshot = str(tmp_path / "before.parquet")
+    spark.createDataFrame(
+        [(1, "old@x", None, "active")],
+        "receiver_id bigint, email string, updated date, status string",
+    ).write.parquet(snapshot)
+    run(spark, parse(["sync", f"--snapshot={snapshot}", *common]))
+    log = {(r["email"], r["action"]) for _, r in read_csv(tmp_path / "change_log")}
+    assert ("old@x", "delete") in log and ("a@x", "insert") in log
+    assert spark.read.parquet(str(tmp_path / "snapshot")).count() == 4
+    for wrong in (["youth_born_in", *common], ["sync", *common], ["unknown", *common]):
+        with pytest.raises(SystemExit):
+            parse(wrong)

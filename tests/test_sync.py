@@ -147,20 +147,23 @@ def test_newsletter_flags_of_missing_values(spark):
     assert rows["x@y"].firstname == "Anna & Beat" and rows["x@y"].passivmitglied
 
 
-def test_hot_address(spark):
+@pytest.mark.parametrize("rows_per_task", [20, 1_000_000])
+def test_hot_address(spark, rows_per_task):
     """A third of all rows share an address; its names stay whole."""
     rows = spark.range(3000).select(
         F.col("id").alias("person_id"),
         F.concat(F.lit("V"), (F.col("id") % 50).cast("string")).alias("first_name"),
-        F.lit("N").alias("last_name"),
+        F.when(F.col("id") % 2 == 0, "N").alias("last_name"),
         F.lit("Männlich").alias("gender"),
         F.lit("Knaben").alias("category"),
         F.when(F.col("id") % 3 == 0, "junk").otherwise(F.col("id").cast("string")).alias("email"),
     )
-    table = newsletter_rows(rows, TODAY)
+    table = newsletter_rows(rows, TODAY, rows_per_task)
     assert table.count() == 2001
-    names = table.where("Email = 'junk'").first().firstname.split(" & ")
-    assert names == sorted(f"V{i}" for i in range(50))
+    junk = table.where("Email = 'junk'").first()
+    assert junk.firstname.split(" & ") == sorted(f"V{i}" for i in range(50))
+    assert junk.lastname == "N" and junk.knaben and junk.maennlich and not junk.weiblich
+    assert table.where("Email = '1'").first().firstname == "V1"
 
 
 def test_payload(spark):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clubledger.operators.skew import ROWS_PER_TASK, skew_join
+from clubledger.operators.skew import ROWS_PER_TASK, list_join, skew_join
 from clubledger.session import write_through
 
 
@@ -37,18 +39,42 @@ def _small_star(edges: DataFrame, balance: bool, rows_per_task: int) -> DataFram
     return moved.where("a <> b").distinct()
 
 
-def _all_stars(edges: DataFrame) -> bool:
-    """True when every upper end has one lower end that is not itself an upper end."""
+def _tangled(edges: DataFrame) -> DataFrame:
+    """``node``: upper ends with several lower ends, or that are lower ends themselves.
+
+    Where there are none, every component is a star around its smallest node.
+    """
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low"))
     ends = ends.unionByName(
         edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low"))
     )
-    tangled = (
+    return (
         ends.groupBy("node")
         .agg(F.sum("up").alias("up"), F.max("low").alias("low"))
         .where("up > 1 OR (up = 1 AND low = 1)")
+        .select("node")
+    )
+
+
+def _set_stars_aside(edges: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of components that are stars already, and the edges of all others.
+
+    A lower end is open if it, or an upper end tied to it, is tangled. An edge
+    with a closed lower end belongs to a finished star, for nothing else is tied
+    to the ends of that star.
+    """
+    tangled = write_through(_tangled(edges), "tangled")
+    if tangled.isEmpty():
+        return edges, None
+    upper = tangled.select(F.col("node").alias("a"))
+    tied = list_join(edges, upper, "a", "b", "inner", rows_per_task).select("b")
+    open_ends = tied.union(tangled).distinct().withColumn("open", F.lit(True))
+    marked = write_through(
+        list_join(edges, open_ends, "b", "a", "left", rows_per_task).select("a", "b", "open"),
+        "marked",
     )
-    return tangled.isEmpty()
+    stars, others = marked.where(F.col("open").isNull()), marked.where(F.col("open"))
+    return stars.select("a", "b"), others.select("a", "b")
 
 
 def connected_components(edges: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -57,8 +83,9 @@ def connected_components(edges: DataFrame, rows_per_task: int = ROWS_PER_TASK) -
     The component is the smallest node in it. Alternating large-star and
     small-star steps (Kiveris et al., 2014) end in one star per component after
     a number of rounds that grows with the logarithm of the component size.
-    Every round is written to the shared folder; the driver only learns whether
-    another one is needed.
+    While there are many edges, finished stars leave the rounds. Every round is
+    written to the shared folder; the driver only learns whether another one is
+    needed.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node")))
     current = write_through(
@@ -67,12 +94,23 @@ def connected_components(edges: DataFrame, rows_per_task: int = ROWS_PER_TASK) -
         .distinct(),
         "edges",
     )
-    while not _all_stars(current):
-        # So few edges that no node can have too many: plain joins will do.
-        balance = 2 * current.count() > rows_per_task
-        larger = _large_star(current, balance, rows_per_task)
-        current = write_through(_small_star(larger, balance, rows_per_task), "edges")
-    labels = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    stars = []
+    while current is not None:
+        if 2 * current.count() <= rows_per_task:
+            # So few edges that no node can have too many: plain joins will do.
+            if _tangled(current).isEmpty():
+                stars.append(current)
+                break
+            larger = _large_star(current, False, rows_per_task)
+            current = write_through(_small_star(larger, False, rows_per_task), "edges")
+            continue
+        finished, current = _set_stars_aside(current, rows_per_task)
+        stars.append(finished)
+        if current is not None:
+            larger = write_through(_large_star(current, True, rows_per_task), "larger")
+            current = write_through(_small_star(larger, True, rows_per_task), "edges")
+    ties = reduce(DataFrame.unionByName, stars)
+    labels = ties.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return (
         nodes.distinct()
         .join(labels, "node", "left")

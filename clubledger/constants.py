@@ -153,6 +153,23 @@ RECEIVER_TYPES = ["active", "inactive", "all", "bounce"]
 UPSERT_OK = "update success"
 DELETE_OK = "success"
 
+# --- fixed values: statistics text, label and figure --------------------------
+STATISTICS_LABELS = {
+    "Total Number of Members": "total",
+    "Number of Adults": "adults",
+    "Men": "men",
+    "active Men": "active_men",
+    "passive or non-active Men": "passive_men",
+    "Women": "women",
+    "active Women": "active_women",
+    "passive or non-active Women": "passive_women",
+    "Number of Children": "children",
+    "Boys": "boys",
+    "Girls": "girls",
+    "Oldest Member (years)": "max_age",
+    "Youngest Member (years)": "min_age",
+}
+
 # --- fixed values: date formats (Spark patterns) ------------------------------
 DISPLAY_DATE = "dd.MM.yyyy"
 SHORT_YEAR_DATE = "dd.MM.yy"

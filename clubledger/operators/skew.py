@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 # A key gets split once it has more rows than one task should read ...
 ROWS_PER_TASK = 1_000_000
-# ... and holds at least this fraction of all rows, so that at most 100,000 keys
-# can ever be listed, whatever the size of the data. A key below that fraction
-# is a small part of the load of a task on any cluster of fewer cores.
-MAX_HEAVY_KEYS = 100_000
+# ... and holds at least one part in this many of all rows, so that no more than
+# a million keys can ever be listed, whatever the size of the data. A key below
+# that is a small part of the load of one task, for a cluster has fewer cores.
+MAX_HEAVY_KEYS = 1_000_000
 # A lookup table of at most this many (short) rows is sent to every executor.
 MAX_BROADCAST_ROWS = 500_000
 

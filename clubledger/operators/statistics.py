@@ -7,7 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clubledger.constants import ADULT_CATEGORIES, MALE, NON_ACTIVE_ADULT_CATEGORIES
+from clubledger.constants import (
+    ADULT_CATEGORIES,
+    MALE,
+    NON_ACTIVE_ADULT_CATEGORIES,
+    STATISTICS_LABELS,
+)
 from clubledger.functions.people import age_at
 from clubledger.operators.filters import base_members
 
@@ -41,23 +46,8 @@ def club_statistics(people: DataFrame, as_of: dt.date) -> DataFrame:
 
 def statistics_text(people: DataFrame, as_of: dt.date) -> DataFrame:
     """The same counts as a printable text, one line per figure."""
-    lines = [
-        ("Total Number of Members", "total"),
-        ("Number of Adults", "adults"),
-        ("Men", "men"),
-        ("active Men", "active_men"),
-        ("passive or non-active Men", "passive_men"),
-        ("Women", "women"),
-        ("active Women", "active_women"),
-        ("passive or non-active Women", "passive_women"),
-        ("Number of Children", "children"),
-        ("Boys", "boys"),
-        ("Girls", "girls"),
-        ("Oldest Member (years)", "max_age"),
-        ("Youngest Member (years)", "min_age"),
-    ]
     text = [
         F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c).cast("string"), F.lit("-")))
-        for label, c in lines
+        for label, c in STATISTICS_LABELS.items()
     ]
     return club_statistics(people, as_of).select(F.concat_ws("\n", *text).alias("statistics"))

@@ -14,14 +14,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only a local session that names none gets a folder of its own; on a cluster
     a folder on one machine would be lost with that machine.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if configured:
-        return configured
-    already_set = spark.sparkContext.getCheckpointDir()
-    if already_set:
-        return already_set
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="clubledger-")

@@ -60,8 +60,9 @@ def parse_date(c: Column, as_of: dt.date) -> Column:
     text = F.trim(c.cast("string"))
     short = F.try_to_date(text, SHORT_YEAR_DATE)
     pivoted = F.when(F.year(short) > as_of.year, F.add_months(short, -1200)).otherwise(short)
-    return F.coalesce(
-        F.try_to_date(text, DISPLAY_DATE),
-        pivoted,
-        F.try_to_date(F.substring(text, 1, 10), ISO_DATE),
+    # Looking at the shape first spares a failed parse per row.
+    return (
+        F.when(text.like("__.__.____"), F.try_to_date(text, DISPLAY_DATE))
+        .when(text.like("__.__.__"), pivoted)
+        .when(text.like("____-__-__%"), F.try_to_date(F.substring(text, 1, 10), ISO_DATE))
     )

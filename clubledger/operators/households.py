@@ -10,6 +10,7 @@ from clubledger.operators.components import connected_components
 from clubledger.operators.families import families_with_value, family_sizes
 from clubledger.operators.skew import (
     ROWS_PER_TASK,
+    heavy_hashes,
     heavy_rows,
     list_join,
     row_counts,
@@ -74,10 +75,9 @@ def household_list(
     """
     if "member_order" not in people.columns:
         people = with_household(people).withColumn("member_order", F.struct("pos"))
+    all_small = heavy_hashes(people, "household", people_per_row).isEmpty()
     sizes = row_counts(people, "household")
-    heavy = heavy_rows(sizes, people_per_row).select("household")
-    all_small = heavy.isEmpty()
-    heavy = F.broadcast(heavy)
+    heavy = F.broadcast(heavy_rows(sizes, people_per_row).select("household"))
     address = F.min(F.struct("member_order", "street", "plz", "city")).alias("first")
     surnames = joined_distinct("last_name").alias("names")
     label = person_label(number=False).alias("label")

@@ -4,7 +4,9 @@ The SQL below is read by Spark to make the inputs of the queries and by the SQL
 check to make the same inputs there; it uses only what both understand. People
 come from ``orders`` (one person per order, families and households around the
 customer), group rows from ``lineitem``, and the side lists from ``customer``,
-``supplier`` and the people themselves.
+``supplier`` and the people themselves. Every row of these tables takes part;
+remainders only make up values, and the side lists are chosen by balances, dates
+and the like.
 """
 
 from __future__ import annotations

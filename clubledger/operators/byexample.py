@@ -36,8 +36,12 @@ def _signature(fields: Sequence[str]) -> Column:
     return sum(bits, F.lit(0))
 
 
-def _keyed_references(references: DataFrame, fields: Sequence[str]) -> DataFrame:
-    return references.withColumns(
+def _keyed_references(
+    references: DataFrame, people: DataFrame, fields: Sequence[str]
+) -> DataFrame:
+    """References with their signature and example, in the types the people have."""
+    same_types = {f: F.col(f).cast(people.schema[f].dataType) for f in fields}
+    return references.withColumns(same_types).withColumns(
         {"signature": _signature(fields), "example": F.struct(*fields)}
     )
 
@@ -73,7 +77,7 @@ def fill_from_references(
     most one reference per signature.
     """
     fields = match_fields(people, references, [prop, *exclude])
-    offers = _keyed_references(references.where(F.col(prop).isNotNull()), fields)
+    offers = _keyed_references(references.where(F.col(prop).isNotNull()), people, fields)
     best = offers.groupBy("example").agg(
         F.min(F.struct("ref_pos", F.col(prop).alias("value"))).alias("offer")
     )
@@ -112,7 +116,7 @@ def matching_people(
 ) -> DataFrame:
     """``person_id`` of everyone who matches at least one reference."""
     fields = match_fields(people, references, exclude)
-    keyed = _keyed_references(references, fields)
+    keyed = _keyed_references(references, people, fields)
     examples = keyed.select("example").distinct()
     candidates = _keyed_people(people, keyed, fields)
     matched = skew_join(

@@ -10,8 +10,9 @@ from clubledger.operators.components import connected_components
 from clubledger.operators.families import families_with_value, family_sizes
 from clubledger.operators.skew import (
     ROWS_PER_TASK,
-    heavy_hashes,
+    hash_counts,
     heavy_rows,
+    largest,
     list_join,
     row_counts,
     skew_join,
@@ -75,7 +76,7 @@ def household_list(
     """
     if "member_order" not in people.columns:
         people = with_household(people).withColumn("member_order", F.struct("pos"))
-    all_small = heavy_hashes(people, "household", people_per_row).isEmpty()
+    all_small = largest(hash_counts(people, "household")) <= people_per_row
     sizes = row_counts(people, "household")
     heavy = F.broadcast(heavy_rows(sizes, people_per_row).select("household"))
     address = F.min(F.struct("member_order", "street", "plz", "city")).alias("first")

@@ -184,7 +184,9 @@ def overlap_cells(memberships: DataFrame) -> DataFrame:
     ``n`` counts the entries of ``riege``, repeats included, whose person also
     appears in ``other``. People with the same set of groups are counted
     together first; only then is each such set unfolded into its cells, so no
-    pairs are built per person and there is no self-join.
+    pairs are built per person and there is no self-join. A set holds each group
+    once, however often a person is listed, so it is never longer than a row of
+    the matrix.
     """
     entries = (
         memberships.where(~is_youth_group(F.col("riege")))

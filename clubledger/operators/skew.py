@@ -22,6 +22,11 @@ def row_counts(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def largest(counts: DataFrame) -> int:
+    """The greatest ``n`` of a table of counts."""
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
 def heavy_rows(counts: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
     """The rows of a table with counts ``n`` that stand for more than ``limit``
     rows each and for at least 1/``MAX_HEAVY_KEYS`` of the total.
@@ -32,14 +37,13 @@ def heavy_rows(counts: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
     return counts.where((F.col("n") > limit) & (F.col("n") * MAX_HEAVY_KEYS >= total))
 
 
-def heavy_hashes(rows: DataFrame, key: str, limit: int = ROWS_PER_TASK) -> DataFrame:
-    """``(key_hash, splits)`` of the keys too large for one task.
+def hash_counts(rows: DataFrame, key: str) -> DataFrame:
+    """Rows per hash of a key: two numbers per key, however wide the keys are.
 
-    Two numbers per key, so the size is bounded however wide the keys are. Keys
-    with the same hash are split alike, which does no harm.
+    Keys with the same hash are counted, and later split, together. That does no
+    harm, for a split never changes a result.
     """
-    counts = row_counts(rows.select(F.xxhash64(key).alias("key_hash")), "key_hash")
-    return _splits(counts, limit)
+    return row_counts(rows.select(F.xxhash64(key).alias("key_hash")), "key_hash")
 
 
 def split_heavy(
@@ -50,20 +54,16 @@ def split_heavy(
     The second part is ``None`` if there are none, and may hold the rows of a few
     ordinary keys that have the hash of a heavy one.
     """
-    heavy = heavy_hashes(rows, key, limit).select("key_hash")
-    if heavy.isEmpty():
+    counts = hash_counts(rows, key)
+    if largest(counts) <= limit:
         return rows, None
-    hashed, heavy = rows.withColumn("key_hash", F.xxhash64(key)), F.broadcast(heavy)
+    heavy = F.broadcast(heavy_rows(counts, limit).select("key_hash"))
+    hashed = rows.withColumn("key_hash", F.xxhash64(key))
     return tuple(
         hashed.join(heavy, "key_hash", how).drop("key_hash") for how in ("left_anti", "left_semi")
     )
 
 
-def _splits(counts: DataFrame, limit: int) -> DataFrame:
-    splits = F.ceil(F.col("n") / limit).alias("splits")
-    return heavy_rows(counts, limit).select("key_hash", splits)
-
-
 def skew_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -82,16 +82,18 @@ def skew_join(
     them. Rows without a key count as one more key where they are kept.
     ``counts`` may pass row counts ``(key, n)`` that are already known.
     """
+    # Equal keys must have equal hashes, so the two sides need one type.
+    lookup = lookup.withColumn(key, F.col(key).cast(rows.schema[key].dataType))
     if counts is not None:
         hashed = counts.select(F.xxhash64(key).alias("key_hash"), "n")
-        heavy = _splits(hashed.groupBy("key_hash").agg(F.sum("n").alias("n")), rows_per_task)
-    elif how in ("inner", "left_semi"):
-        heavy = heavy_hashes(rows.where(F.col(key).isNotNull()), key, rows_per_task)
+        counts = hashed.groupBy("key_hash").agg(F.sum("n").alias("n"))
     else:
-        heavy = heavy_hashes(rows, key, rows_per_task)
-    if heavy.isEmpty():
+        matchable = how in ("inner", "left_semi")
+        counts = hash_counts(rows.where(F.col(key).isNotNull()) if matchable else rows, key)
+    if largest(counts) <= rows_per_task:
         return rows.join(lookup, key, how)
-    heavy = F.broadcast(heavy)
+    splits = F.ceil(F.col("n") / rows_per_task).alias("splits")
+    heavy = F.broadcast(heavy_rows(counts, rows_per_task).select("key_hash", splits))
     ids = [row_id] if isinstance(row_id, str) else list(row_id)
     part = F.coalesce(F.pmod(F.xxhash64(*ids), "splits"), F.lit(0))
     one = F.lit(1).cast("bigint")

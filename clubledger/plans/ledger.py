@@ -160,16 +160,20 @@ def load_ledger(
     backup: str | None = None,
     housemates: str | None = None,
     strict: bool = False,
+    multi_line: bool = False,
 ) -> Ledger:
     """Read all files of a club and prepare the people every list starts from.
 
     The prepared people are written once to the shared folder, since every list
     reads them.
     """
-    own = exports.number_people(spark, exports.read_people(spark, members, as_of), "members")
+    def read(path: str, source: int) -> DataFrame:
+        return exports.read_people(spark, path, as_of, source=source, multi_line=multi_line)
+
+    own = exports.number_people(read(members, 0), "members")
 
     def side_list(path: str | None) -> DataFrame:
-        return exports.read_people(spark, path, as_of, source=1) if path else own.limit(0)
+        return read(path, 1) if path else own.limit(0)
 
     # Extra recipients are numbered below zero, apart from the members.
     extras = side_list(extra).withColumn("person_id", -1 - F.monotonically_increasing_id())

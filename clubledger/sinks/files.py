@@ -11,6 +11,16 @@ from clubledger.functions.people import display_date
 from clubledger.operators.newsletter import newsletter_text, receiver_json
 
 
+# Text as it is: quotes are doubled, blanks are kept, missing values are empty.
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def _printable(rows: DataFrame, fmt: str) -> DataFrame:
     """Dates as printed, for text formats."""
     if fmt != "csv":
@@ -23,7 +33,7 @@ def write_list(rows: DataFrame, path: str, fmt: str = "csv", mode: str = "errori
     """Any list with a header row (CSV) or as Parquet, in the order it has."""
     writer = _printable(rows, fmt).write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV_OPTIONS).csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
@@ -40,7 +50,12 @@ def write_partitioned(
     """
     balanced = _printable(rows, fmt).hint("rebalance", F.col(by))
     writer = balanced.write.mode(mode).partitionBy(by)
-    writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
+    if fmt == "csv":
+        writer.options(**CSV_OPTIONS).csv(path)
+    elif fmt == "parquet":
+        writer.parquet(path)
+    else:
+        raise ValueError(f"unknown file type: {fmt}")
 
 
 def write_rosters(
@@ -53,7 +68,7 @@ def write_rosters(
 
 
 def write_newsletter(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    newsletter_text(rows).write.mode(mode).option("header", True).csv(path)
+    newsletter_text(rows).write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def write_payload(payload: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -25,8 +25,8 @@ GROUP_FILE_ENCODING = "ISO-8859-1"
 
 
 def format_of(path: str) -> str:
-    """File format by name."""
-    name = path.lower()
+    """File format by the name of the file or folder."""
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     if "csv" in name:
         return "csv"
     if "parquet" in name:
@@ -45,13 +45,14 @@ def _position(source: int = 0) -> Column:
     )
 
 
-def _read_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
     """Semicolon-separated text with a header; a file that yields fewer than three
     columns that way is comma-separated with ``+`` as the quote character."""
-    reader = spark.read.option("header", True).option("encoding", encoding)
-    table = reader.option("sep", ";").csv(path)
+    options = {"header": True, "encoding": encoding, "multiLine": multi_line}
+    # A doubled quote character inside quotes stands for itself.
+    table = spark.read.options(**options, sep=";", quote='"', escape='"').csv(path)
     if len(table.columns) < 3:
-        table = reader.option("sep", ",").option("quote", "+").csv(path)
+        table = spark.read.options(**options, sep=",", quote="+", escape="+").csv(path)
     return table
 
 
@@ -61,11 +62,16 @@ def read_table(
     fmt: str | None = None,
     encoding: str = "UTF-8",
     source: int = 0,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """All columns of a file plus ``pos``; rows without any value are left out."""
+    """All columns of a file plus ``pos``; rows without any value are left out.
+
+    ``multi_line`` is for CSV with line breaks inside quotes; such a file is read
+    by one task, so large exports should come without or in many files.
+    """
     fmt = fmt or format_of(path)
     if fmt == "csv":
-        table = _read_csv(spark, path, encoding)
+        table = _read_csv(spark, path, encoding, multi_line)
     elif fmt == "parquet":
         table = spark.read.parquet(path)
     else:
@@ -115,7 +121,7 @@ def people_from_export(table: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
-def number_people(spark: SparkSession, people: DataFrame, label: str = "people") -> DataFrame:
+def number_people(people: DataFrame, label: str = "people") -> DataFrame:
     """Give every record a unique ``person_id``.
 
     The ids are written once, because a recomputed scan could number its rows
@@ -130,9 +136,11 @@ def read_people(
     as_of: dt.date,
     fmt: str | None = None,
     source: int = 0,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A people file (member export, extra recipients, unsubscribe list, backup)."""
-    return people_from_export(read_table(spark, path, fmt, source=source), as_of)
+    table = read_table(spark, path, fmt, source=source, multi_line=multi_line)
+    return people_from_export(table, as_of)
 
 
 def group_rows(table: DataFrame) -> DataFrame:

@@ -91,3 +91,9 @@ def test_nothing_to_match_is_refused(spark):
     _, _, people_df, refs_df = sample(spark, 8)
     with pytest.raises(ValueError):
         byexample.matching_people(people_df, refs_df.select("ref_pos"))
+
+
+def test_types_of_the_people_count(spark):
+    people = spark.createDataFrame([(1, 5, None)], "person_id bigint, member_number bigint, email string")
+    ref = spark.createDataFrame([(1, 5, "new")], "ref_pos bigint, member_number int, email string")
+    assert byexample.backfill(people, ref, "email").first().email == "new"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clubledger.__main__ import parse, run
 from clubledger.operators.quality import DataQualityError
 from clubledger.plans.ledger import load_ledger
+from clubledger.sinks.files import write_list
 from clubledger.sources.exports import read_group_rows, read_housemates, read_table
 
 AS_OF = dt.date(2024, 2, 28)
@@ -263,3 +264,17 @@ def test_command_line(spark, club, tmp_path):
     for wrong in (["youth_born_in", *common], ["sync", *common], ["unknown", *common]):
         with pytest.raises(SystemExit):
             parse(wrong)
+
+
+def test_quotes_and_blanks_survive(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text('MITGLIEDERNR;VORNAME;NACHNAME\n1;"Hans ""Hansi""; jun.";" Muster "\n')
+    rows = read_table(spark, str(path)).drop("pos")
+    assert [tuple(r) for r in rows.collect()] == [("1", 'Hans "Hansi"; jun.', " Muster ")]
+    out = str(tmp_path / "out")
+    write_list(rows.withColumn("leer", F.lit("")).withColumn("nichts", F.lit(None).cast("string")), out)
+    ((_, row),) = read_csv(out)
+    assert row["VORNAME"] == 'Hans "Hansi"; jun.' and row["NACHNAME"] == " Muster "
+    assert row["leer"] == "" and row["nichts"] == ""
+    with pytest.raises(ValueError):
+        write_list(rows, out + "2", fmt="xlsx")

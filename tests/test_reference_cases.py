@@ -34,7 +34,7 @@ def export_text(categories=("kat1", "kat2", "Aktive Turner", "Aktive Turner")):
 def people(spark, tmp_path):
     path = tmp_path / "people.csv"
     path.write_text(export_text(), encoding="utf-8")
-    return number_people(spark, read_people(spark, str(path), AS_OF))
+    return number_people(read_people(spark, str(path), AS_OF))
 
 
 @pytest.mark.parametrize(
@@ -74,6 +74,13 @@ def test_comma_separated_file_with_plus_quotes(spark, tmp_path):
     assert [(r.member_number, r.first_name) for r in rows] == [(1, "Anna, Maria"), (2, "Beat")]
 
 
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "people.csv"
+    path.write_text('MITGLIEDERNR;VORNAME;NACHNAME\n1;Anna;"Muster\nFrei"\n2;Beat;Gut\n')
+    rows = read_people(spark, str(path), AS_OF, multi_line=True).orderBy("pos").collect()
+    assert [(r.member_number, r.last_name) for r in rows] == [(1, "Muster\nFrei"), (2, "Gut")]
+
+
 def test_parquet_file(spark, people, tmp_path):
     path = str(tmp_path / "people.parquet")
     spark.createDataFrame(

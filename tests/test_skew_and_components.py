@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clubledger.operators.components import connected_components
-from clubledger.operators.skew import heavy_hashes, list_join, skew_join
+from clubledger.operators.skew import hash_counts, heavy_rows, largest, list_join, skew_join
 
 
 def rows_of(df, *columns):
@@ -37,9 +37,17 @@ def test_skew_join_equals_plain_join(spark, hot, how, rows_per_task):
 
 def test_hot_key_is_split(hot):
     hashes = {r.h: r.key for r in hot.select("key", F.xxhash64("key").alias("h")).collect()}
-    found = {hashes[r.key_hash]: r.splits for r in heavy_hashes(hot, "key", 50).collect()}
-    # 200 rows by the first rule and 5 more by the second; 200 without a key.
-    assert found == {7: 5, None: 4}
+    counts = hash_counts(hot, "key")
+    assert {hashes[r.key_hash]: r.n for r in heavy_rows(counts, 50).collect()} == {7: 205, None: 200}
+    assert largest(counts) == 205
+    assert largest(counts.where("false")) == 0
+
+
+@pytest.mark.parametrize("rows_per_task", [5, 1_000_000])
+def test_keys_of_different_integer_types_match(spark, hot, rows_per_task):
+    lookup = spark.range(0, 30).select(F.col("id").cast("int").alias("key"), F.col("id").alias("value"))
+    found = skew_join(hot, lookup, "key", "id", "inner", rows_per_task=rows_per_task)
+    assert found.count() == hot.join(lookup, "key").count() > 200
 
 
 def test_struct_keys_match_with_missing_parts(spark):

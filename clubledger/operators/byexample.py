@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clubledger.functions.people import clear_property, set_email
-from clubledger.operators.skew import ROWS_PER_TASK, skew_join
+from clubledger.operators.skew import ROWS_PER_TASK, patch_join, skew_join
+from clubledger.session import write_through
 
 # Bookkeeping columns that say nothing about the person.
 NOT_PROPERTIES = {"person_id", "pos", "ref_pos"}
@@ -82,12 +83,13 @@ def fill_from_references(
         F.min(F.struct("ref_pos", F.col(prop).alias("value"))).alias("offer")
     )
     lacking = _keyed_people(people.where(F.col(prop).isNull()), offers, fields)
-    return (
+    filled = (
         skew_join(lacking, best, "example", "person_id", "inner", rows_per_task=rows_per_task)
         .groupBy("person_id")
         .agg(F.min("offer").alias("offer"))
         .select("person_id", F.col("offer.value").alias("filled"))
     )
+    return write_through(filled, "filled")
 
 
 def backfill(
@@ -99,7 +101,7 @@ def backfill(
 ) -> DataFrame:
     """People with ``prop`` filled from the first matching reference where it is missing."""
     filled = fill_from_references(people, references, prop, exclude, rows_per_task)
-    joined = people.join(filled, "person_id", "left")
+    joined = patch_join(people, filled, "person_id")
     missing = F.col(prop).isNull() & F.col("filled").isNotNull()
     if prop == "email":
         result = set_email(joined, missing, F.col("filled"))
@@ -122,7 +124,7 @@ def matching_people(
     matched = skew_join(
         candidates, examples, "example", "person_id", "inner", rows_per_task=rows_per_task
     )
-    return matched.select("person_id").distinct()
+    return write_through(matched.select("person_id").distinct(), "matching")
 
 
 def clear_matching(
@@ -133,7 +135,7 @@ def clear_matching(
 ) -> DataFrame:
     """Clear ``prop`` on everyone who matches a reference."""
     hits = matching_people(people, references, rows_per_task=rows_per_task)
-    flagged = people.join(hits.withColumn("_hit", F.lit(True)), "person_id", "left")
+    flagged = patch_join(people, hits.withColumn("_hit", F.lit(True)), "person_id")
     return clear_property(flagged, prop, F.col("_hit")).select(*people.columns)
 
 
@@ -149,5 +151,5 @@ def lost_emails(
     """
     lacking = people.where(F.col("email").isNull())
     filled = fill_from_references(lacking, backup, "email", exclude, rows_per_task)
-    found = lacking.join(filled, "person_id")
+    found = patch_join(lacking, filled, "person_id", "inner")
     return set_email(found, F.lit(True), F.col("filled")).select(*people.columns)

@@ -94,10 +94,12 @@ def connected_components(edges: DataFrame, rows_per_task: int = ROWS_PER_TASK) -
         .distinct(),
         "edges",
     )
-    stars = []
+    stars, few = [], False
     while current is not None:
-        if 2 * current.count() <= rows_per_task:
-            # So few edges that no node can have too many: plain joins will do.
+        # So few edges that no node can have too many: plain joins will do. A
+        # round never adds edges.
+        few = few or 2 * current.count() <= rows_per_task
+        if few:
             if _tangled(current).isEmpty():
                 stars.append(current)
                 break

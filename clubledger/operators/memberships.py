@@ -222,13 +222,6 @@ def overlap_matrix(memberships: DataFrame) -> DataFrame:
     return zeros.unionByName(cells).groupBy("riege", "other").agg(F.sum("n").alias("n"))
 
 
-def overlap_wide(memberships: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """The matrix with one column per given group."""
-    return (
-        overlap_cells(memberships)
-        .where(F.col("other").isin(list(groups)))
-        .groupBy("riege")
-        .pivot("other", list(groups))
-        .agg(F.any_value("n"))
-        .na.fill(0)
-    )
+def overlap_wide(matrix: DataFrame) -> DataFrame:
+    """The full matrix with one column per group."""
+    return matrix.groupBy("riege").pivot("other").agg(F.any_value("n"))

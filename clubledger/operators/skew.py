@@ -139,3 +139,19 @@ def list_join(
     if lookup.count() <= max_broadcast_rows:
         return rows.join(F.broadcast(lookup), key, how)
     return skew_join(rows, lookup, key, row_id, how, rows_per_task=rows_per_task)
+
+
+def patch_join(
+    rows: DataFrame,
+    patch: DataFrame,
+    key: str,
+    how: str = "left",
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Join on a key that is unique on both sides, the patch being a written table.
+
+    A patch for few rows is broadcast, so that the many rows it does not concern
+    stay where they are; a large one is an ordinary join.
+    """
+    small = patch.count() <= max_broadcast_rows
+    return rows.join(F.broadcast(patch) if small else patch, key, how)

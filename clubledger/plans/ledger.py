@@ -129,9 +129,9 @@ class Ledger:
         if name == "rosters":
             return files.write_rosters(self.rosters(), f"{base}/rosters", self.as_of, fmt)
         if name == "overlap":
-            cells = write_through(self.overlap(), "overlap")
-            wide = cells.groupBy("riege").pivot("other").agg(F.any_value("n"))
-            files.write_list(wide.orderBy("riege"), f"{base}/overlap", fmt)
+            matrix = write_through(self.overlap(), "overlap")
+            wide = memberships.overlap_wide(matrix).orderBy("riege")
+            files.write_list(wide, f"{base}/overlap", fmt)
             return f"{base}/overlap"
         if name == "assembly_lists":
             rows = self.assembly_lists(**arguments)

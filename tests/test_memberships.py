@@ -92,7 +92,8 @@ def test_overlap_matrix(spark, seed):
     assert {(r.riege, r.other): r.n for r in memberships.overlap_cells(df).collect()} == non_zero
     assert expected[("R4", "R1")] == 0
     names = sorted({a for a, _ in expected})
-    wide = {r.riege: r.asDict() for r in memberships.overlap_wide(df, names).collect()}
+    matrix = memberships.overlap_matrix(df)
+    wide = {r.riege: r.asDict() for r in memberships.overlap_wide(matrix).collect()}
     assert {(a, b): wide[a][b] for a in names for b in names} == expected
 
 

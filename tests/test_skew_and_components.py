@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clubledger.operators.components import connected_components
-from clubledger.operators.skew import hash_counts, heavy_rows, largest, list_join, skew_join
+from clubledger.operators.skew import hash_counts, heavy_rows, largest, list_join, patch_join, skew_join
 
 
 def rows_of(df, *columns):
@@ -35,6 +35,15 @@ def test_skew_join_equals_plain_join(spark, hot, how, rows_per_task):
         assert rows_of(listed, *columns) == rows_of(plain, *columns)
 
 
+def test_patch_join(spark):
+    rows = spark.range(100).select(F.col("id").alias("key"))
+    patch = spark.range(0, 100, 7).select(F.col("id").alias("key"), F.lit("x").alias("value"))
+    for limit in (1000, 3):
+        for how in ("left", "inner"):
+            found = patch_join(rows, patch, "key", how, limit)
+            assert rows_of(found, "key", "value") == rows_of(rows.join(patch, "key", how), "key", "value")
+
+
 def test_hot_key_is_split(hot):
     hashes = {r.h: r.key for r in hot.select("key", F.xxhash64("key").alias("h")).collect()}
     counts = hash_counts(hot, "key")

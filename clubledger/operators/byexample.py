@@ -20,8 +20,9 @@ from clubledger.session import write_through
 
 # Bookkeeping columns that say nothing about the person.
 NOT_PROPERTIES = {"person_id", "pos", "ref_pos"}
-# The distinct signatures travel as one literal array; 2^16 of them at most.
-MAX_FIELDS = 16
+# The distinct signatures travel as one literal array, 2^20 numbers at most. A
+# full record has 17 properties.
+MAX_FIELDS = 20
 
 
 def match_fields(people: DataFrame, references: DataFrame, exclude: Sequence[str]) -> list[str]:

@@ -118,6 +118,16 @@ def test_clear_by_example(spark, people):
     assert cleared.where("first_name = 'vorname2'").first().emails is None
 
 
+def test_clear_by_full_records(people):
+    # A record read from a file has lists, and an empty list only equals an empty one.
+    same = people.where("first_name IN ('vorname1', 'vorname4')").drop("person_id")
+    cleared = byexample.clear_matching(people, same, "email")
+    assert filters.without_email(cleared).count() == 2
+    no_emails = same.where("email IS NULL").withColumn("first_name", F.lit(None).cast("string"))
+    hits = byexample.matching_people(people, no_emails)
+    assert hits.count() == 1
+
+
 def test_mail_families(spark, people):
     sizes = {r.email: r.n_people for r in families.mail_families(people).collect()}
     assert sizes == {"email1": 1, "email3": 2, None: 1}

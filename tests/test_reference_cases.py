@@ -13,6 +13,7 @@ from clubledger.operators.newsletter import newsletter_rows, newsletter_text
 from clubledger.sources.exports import number_people, read_people
 
 AS_OF = dt.date(2024, 2, 28)
+# The known sample export and what is expected of it.
 HEADER = (
     "MITGLIEDERNR;GESCHLECHT;VORNAME;NACHNAME;STRASSE;PLZ;ORT;GEBURTSDATUM;KATEGORIE;"
     "EMAIL;EMAIL ALTERNATIV;EMAILVEREIN"

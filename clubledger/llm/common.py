@@ -36,3 +36,29 @@ def hashed_share(rows: DataFrame, key: str, n_rows: int, wanted: int, seed: str)
     share = max(1, -(-wanted * million // n_rows))
     picked = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(million)) < share
     return rows.where(picked).limit(2 * wanted)
+
+
+def sorted_groups(
+    batches: Iterator[pa.RecordBatch], keys: list[str]
+) -> Iterator[tuple[tuple, pa.Table]]:
+    """Key and rows of each group of a partition that is sorted by ``keys``.
+
+    Only the group being gathered is in memory beside the current batch.
+    """
+    held: list[pa.Table] = []
+    current = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        values = list(zip(*(rows[k].to_pylist() for k in keys), strict=True))
+        start = 0
+        for end in range(1, len(values) + 1):
+            if end < len(values) and values[end] == values[start]:
+                continue
+            if held and values[start] != current:
+                yield current, pa.concat_tables(held)
+                held = []
+            current = values[start]
+            held.append(rows.slice(start, end - start))
+            start = end
+    if held:
+        yield current, pa.concat_tables(held)

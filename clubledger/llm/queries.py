@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clubledger.llm import language_crf
 from clubledger.llm.quality_rules import MEASURES, apply_policy, fails, rule_ledger
+from clubledger.llm.simhash_bk import simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id: str, fold: int, folds: int) -> Column:
+    """Whether an id belongs to the fold that nothing is learned from; an unknown id
+    does not, and nothing is learned from it either."""
+    fold_of = F.crc32(F.col(doc_id).cast("string")) % folds
+    return F.coalesce(fold_of == fold, F.lit(False))
+
+
 # -- 3 quality rules ------------------------------------------------------------
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,3 +79,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failures = 0 AS kept
 FROM bits
 """
+
+
+# -- 5 SimHash near-dedup ---------------------------------------------------------
+@query
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: 4 words, at most 4 bits."""
+    return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
+# -- 9 language ID ------------------------------------------------------------------
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a CRF learned from three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_crf.train(docs.where(~held_out("doc_id", 2, 4)))
+    rows = docs.select("doc_id", held_out("doc_id", 2, 4).alias("held_out"), "text")
+    return language_crf.predict_language(rows, model, keep_text=False)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a run of characters other than space, tab, LF, VT, FF and CR.
@@ -62,3 +64,16 @@ def sorted_groups(
             start = end
     if held:
         yield current, pa.concat_tables(held)
+
+
+def importable_by_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the library from where it lies.
+
+    On a cluster it is installed on the executors (or passed as ``--py-files``);
+    there this path does not exist and does no harm.
+    """
+    here = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in paths.split(os.pathsep):
+        joined = os.pathsep.join(p for p in (here, paths) if p)
+        spark.sparkContext.environment["PYTHONPATH"] = joined

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clubledger.llm import language_crf
+from clubledger.llm.common import importable_by_workers
+from clubledger.llm.mixing import mixing_decisions
 from clubledger.llm.quality_rules import MEASURES, apply_policy, fails, rule_ledger
 from clubledger.llm.simhash_bk import simhash_groups
 
@@ -22,6 +24,7 @@ def query(function: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable_by_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,6 +91,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+# -- 8 mixing sources to target weights ---------------------------------------------
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document, as words."""
+    decided = mixing_decisions(table(spark, sf_dir, "documents"))
+    return decided.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 # -- 9 language ID ------------------------------------------------------------------
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

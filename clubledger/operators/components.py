@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from clubledger.operators.skew import ROWS_PER_TASK, list_join, skew_join
-from clubledger.session import write_through
+from clubledger.operators.skew import ROWS_PER_TASK, skew_join
+from clubledger.session import remove_written, write_counted, write_through
 
 
 def _tie_to_smallest(edges: DataFrame, balance: bool, rows_per_task: int) -> tuple:
@@ -25,10 +23,19 @@ def _tie_to_smallest(edges: DataFrame, balance: bool, rows_per_task: int) -> tup
     return low, edges.join(low, "a")
 
 
-def _large_star(edges: DataFrame, balance: bool, rows_per_task: int) -> DataFrame:
+def _large_star(
+    edges: DataFrame, balance: bool, rows_per_task: int, seen: Observation
+) -> DataFrame:
+    """Ties larger neighbours of every node to the smallest one.
+
+    ``seen`` learns how many ends of edges do not lead straight to the smallest
+    node around them: with none, every component is a star already.
+    """
     both_ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     _, tied = _tie_to_smallest(both_ways, balance, rows_per_task)
-    return tied.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    astray = F.count(F.when(F.col("low") != F.least("a", "b"), 1))
+    tied = tied.observe(seen, astray.alias("tangled"))
+    return tied.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame, balance: bool, rows_per_task: int) -> DataFrame:
@@ -39,80 +46,40 @@ def _small_star(edges: DataFrame, balance: bool, rows_per_task: int) -> DataFram
     return moved.where("a <> b").distinct()
 
 
-def _tangled(edges: DataFrame) -> DataFrame:
-    """``node``: upper ends with several lower ends, or that are lower ends themselves.
-
-    Where there are none, every component is a star around its smallest node.
-    """
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low"))
-    ends = ends.unionByName(
-        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low"))
-    )
-    return (
-        ends.groupBy("node")
-        .agg(F.sum("up").alias("up"), F.max("low").alias("low"))
-        .where("up > 1 OR (up = 1 AND low = 1)")
-        .select("node")
-    )
-
-
-def _set_stars_aside(edges: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame | None]:
-    """Edges of components that are stars already, and the edges of all others.
-
-    A lower end is open if it, or an upper end tied to it, is tangled. An edge
-    with a closed lower end belongs to a finished star, for nothing else is tied
-    to the ends of that star.
-    """
-    tangled = write_through(_tangled(edges), "tangled")
-    if tangled.isEmpty():
-        return edges, None
-    upper = tangled.select(F.col("node").alias("a"))
-    tied = list_join(edges, upper, "a", "b", "inner", rows_per_task).select("b")
-    open_ends = tied.union(tangled).distinct().withColumn("open", F.lit(True))
-    marked = write_through(
-        list_join(edges, open_ends, "b", "a", "left", rows_per_task).select("a", "b", "open"),
-        "marked",
-    )
-    stars, others = marked.where(F.col("open").isNull()), marked.where(F.col("open"))
-    return stars.select("a", "b"), others.select("a", "b")
-
-
 def connected_components(edges: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``, two bigint columns.
 
     The component is the smallest node in it. Alternating large-star and
     small-star steps (Kiveris et al., 2014) end in one star per component after
-    a number of rounds that grows with the logarithm of the component size.
-    While there are many edges, finished stars leave the rounds. Every round is
-    written to the shared folder; the driver only learns whether another one is
-    needed.
+    a number of rounds that grows with the logarithm of the component size. A
+    round is one job that writes one table to the shared folder; the same write
+    counts the rows and tells whether its input was finished, and the table before
+    it goes. While there are so many edges that one node could have too many for a
+    task, joins are balanced by the number of edges per node.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node")))
-    current = write_through(
+    current, n_edges = write_counted(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(),
         "edges",
     )
-    stars, few = [], False
-    while current is not None:
-        # So few edges that no node can have too many: plain joins will do. A
-        # round never adds edges.
-        few = few or 2 * current.count() <= rows_per_task
-        if few:
-            if _tangled(current).isEmpty():
-                stars.append(current)
-                break
-            larger = _large_star(current, False, rows_per_task)
-            current = write_through(_small_star(larger, False, rows_per_task), "edges")
-            continue
-        finished, current = _set_stars_aside(current, rows_per_task)
-        stars.append(finished)
-        if current is not None:
-            larger = write_through(_large_star(current, True, rows_per_task), "larger")
-            current = write_through(_small_star(larger, True, rows_per_task), "edges")
-    ties = reduce(DataFrame.unionByName, stars)
-    labels = ties.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    while n_edges:
+        balance, seen = 2 * n_edges > rows_per_task, Observation()
+        larger = _large_star(current, balance, rows_per_task, seen)
+        if balance:
+            larger = write_through(larger, "larger")
+        following, n_following = write_counted(
+            _small_star(larger, balance, rows_per_task), "edges"
+        )
+        if balance:
+            remove_written(larger)
+        if seen.get["tangled"] == 0:
+            remove_written(following)
+            break
+        remove_written(current)
+        current, n_edges = following, n_following
+    labels = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return (
         nodes.distinct()
         .join(labels, "node", "left")

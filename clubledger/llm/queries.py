@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clubledger.llm import language_crf
 from clubledger.llm.common import importable_by_workers
 from clubledger.llm.mixing import mixing_decisions
+from clubledger.llm.packing import Limits, pack_documents
 from clubledger.llm.quality_rules import MEASURES, apply_policy, fails, rule_ledger
 from clubledger.llm.simhash_bk import simhash_groups
 
@@ -84,6 +85,14 @@ FROM bits
 """
 
 
+# -- 4 packing ----------------------------------------------------------------------
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return pack_documents(docs, "byte_bpe_50k.json", end_id=0, limits=Limits(1024, 128, 1024))
+
+
 # -- 5 SimHash near-dedup ---------------------------------------------------------
 @query
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

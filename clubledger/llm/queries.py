@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubledger.llm import language_crf
+from clubledger.llm import compression, language_crf
 from clubledger.llm.common import importable_by_workers
 from clubledger.llm.mixing import mixing_decisions
 from clubledger.llm.packing import Limits, pack_documents
 from clubledger.llm.quality_rules import MEASURES, apply_policy, fails, rule_ledger
 from clubledger.llm.simhash_bk import simhash_groups
 
+TOXICITY = compression.Settings(window_words=24, fold_case=True, contrast=True)
+QUALITY = compression.Settings(window_words=16)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -100,6 +103,17 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+# -- 6 toxicity ---------------------------------------------------------------------
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from two of three folds."""
+    docs, fold = table(spark, sf_dir, "documents"), held_out("doc_id", 1, 3)
+    labels = table(spark, sf_dir, "labels").where(~fold)
+    model = compression.train(docs, labels, "toxic", TOXICITY)
+    rows = docs.select("doc_id", fold.alias("held_out"), "text")
+    return compression.score_texts(rows, model, threshold=0.7, keep_text=False)
+
+
 # -- 8 mixing sources to target weights ---------------------------------------------
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,3 +130,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_crf.train(docs.where(~held_out("doc_id", 2, 4)))
     rows = docs.select("doc_id", held_out("doc_id", 2, 4).alias("held_out"), "text")
     return language_crf.predict_language(rows, model, keep_text=False)
+
+
+# -- 10 quality classifier ------------------------------------------------------------
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from three of four folds."""
+    docs, fold = table(spark, sf_dir, "documents"), held_out("doc_id", 2, 4)
+    labels = table(spark, sf_dir, "labels").where(~fold)
+    model = compression.train(docs, labels, "quality", QUALITY)
+    rows = docs.select("doc_id", fold.alias("held_out"), "text")
+    return compression.score_texts(rows, model, threshold=0.7, keep_text=False)

@@ -13,6 +13,8 @@ from clubledger.llm.mixing import mixing_decisions
 from clubledger.llm.packing import Limits, pack_documents
 from clubledger.llm.quality_rules import MEASURES, apply_policy, fails, rule_ledger
 from clubledger.llm.simhash_bk import simhash_groups
+from clubledger.llm.token_files import read_token_files, write_token_files
+from clubledger.session import new_table_path
 
 TOXICITY = compression.Settings(window_words=24, fold_case=True, contrast=True)
 QUALITY = compression.Settings(window_words=16)
@@ -114,6 +116,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score_texts(rows, model, threshold=0.7, keep_text=False)
 
 
+# -- 7 token files ------------------------------------------------------------------
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back."""
+    path = new_table_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", end_id=1)
+    return read_token_files(spark, path)
+
+
 # -- 8 mixing sources to target weights ---------------------------------------------
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,12 @@ from clubledger.llm.mixing import mixing_decisions
 from clubledger.llm.packing import Limits, pack_documents
 from clubledger.llm.quality_rules import MEASURES, apply_policy, fails, rule_ledger
 from clubledger.llm.simhash_bk import simhash_groups
+from clubledger.llm.token_counts import (
+    TokenLedger,
+    copies_to_delete,
+    count_tokens,
+    version_change,
+)
 from clubledger.llm.token_files import read_token_files, write_token_files
 from clubledger.session import new_table_path
 
@@ -41,6 +47,24 @@ def held_out(doc_id: str, fold: int, folds: int) -> Column:
     return F.coalesce(fold_of == fold, F.lit(False))
 
 
+# -- 2 token counts -----------------------------------------------------------------
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by source, language and version after three batches: all documents come
+    in, exact copies go, the rest is counted anew with an end token. The last two are
+    committed twice, as after a failure."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = TokenLedger(spark, new_table_path(spark, "token-ledger"))
+    version, ended = "byte_bpe_50k", "byte_bpe_50k+end"
+    counted = count_tokens(docs, "byte_bpe_50k.json", version)
+    ledger.commit("1-load", counted.withColumn("event", F.lit("insert")))
+    for _ in range(2):
+        ledger.commit("2-copies", copies_to_delete(docs, version))
+    for _ in range(2):
+        ledger.commit("3-end-token", version_change(ledger, version, ended, 1))
+    return ledger.totals()
+
+
 # -- 3 quality rules ------------------------------------------------------------
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

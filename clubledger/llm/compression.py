@@ -348,7 +348,7 @@ def score_texts(
     """
     left_out = {"score", "predicted"} | (set() if keep_text else {text})
     others = [c for c in docs.columns if c not in left_out]
-    schema = docs.select(*others).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*others).schema.add("score", "double").add("predicted", "integer")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from clubledger.llm.token_counts import (
     version_change,
 )
 from clubledger.llm.token_files import read_token_files, write_token_files
+from clubledger.llm.topk_pivots import top_k
 from clubledger.session import new_table_path
 
 TOXICITY = compression.Settings(window_words=24, fold_case=True, contrast=True)
@@ -47,6 +48,29 @@ def held_out(doc_id: str, fold: int, folds: int) -> Column:
     return F.coalesce(fold_of == fold, F.lit(False))
 
 
+# -- 1 exact top-k search -----------------------------------------------------------
+@query
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors closest to every twentieth one."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+SQL["op1_exact_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+    FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+       AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 20
+"""
+
+
 # -- 2 token counts -----------------------------------------------------------------
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

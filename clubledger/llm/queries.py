@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from clubledger.llm import compression, language_crf
 from clubledger.llm.common import importable_by_workers
 from clubledger.llm.mixing import mixing_decisions
@@ -200,3 +201,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = compression.train(docs, labels, "quality", QUALITY)
     rows = docs.select("doc_id", fold.alias("held_out"), "text")
     return compression.score_texts(rows, model, threshold=0.7, keep_text=False)
+
+
+# -- the pipeline ---------------------------------------------------------------------
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

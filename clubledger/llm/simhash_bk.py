@@ -226,6 +226,28 @@ def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(pair, ["a", "b"])
 
 
+def _members(
+    docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int, shard_rows: int
+) -> DataFrame:
+    """Per row of ``docs``: ``(doc_id, text_key, value, component, component_id)``, where
+    ``component`` is the smallest fingerprint of the component."""
+    narrow = docs.select(
+        F.col(doc_id).alias("doc_id"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"),
+        F.col(text).alias("text"),
+    )
+    marked = write_through(add_fingerprints(narrow, "text", shingle, "value"), "fingerprints")
+    classes = write_through(marked.groupBy("value").agg(F.min("doc_id").alias("low")), "classes")
+    links = write_through(fingerprint_links(classes.select("value"), radius, shard_rows), "links")
+    components = connected_components(links)
+    members = classes.join(
+        components.select(F.col("node").alias("value"), "component"), "value", "left"
+    ).withColumn("component", F.coalesce("component", "value"))
+    lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = members.join(lowest, "component").select("value", "component", "component_id")
+    return marked.join(named, "value")
+
+
 def simhash_groups(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -242,23 +264,34 @@ def simhash_groups(
     linked but never name a component; a component of such rows only is null.
     Repeated rows stay. Other columns of ``docs`` are not looked at.
     """
-    marked = add_fingerprints(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
-        "text",
-        shingle,
-        "value",
-    )
-    marked = write_through(marked, "fingerprints")
-    classes = write_through(marked.groupBy("value").agg(F.min("doc_id").alias("low")), "classes")
-    links = write_through(fingerprint_links(classes.select("value"), radius, shard_rows), "links")
-    components = connected_components(links)
-    members = classes.join(
-        components.select(F.col("node").alias("value"), "component"), "value", "left"
-    ).withColumn("component", F.coalesce("component", "value"))
-    lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = members.join(lowest, "component").select("value", "component_id")
-    return marked.join(named, "value").select(
+    rows = _members(docs, doc_id, text, shingle, radius, shard_rows)
+    return rows.select(
         F.col("doc_id").alias(doc_id),
         F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def one_per_group(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 4,
+    radius: int = 4,
+    shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
+    """The row of each group with the smallest id, all its columns as they are.
+
+    Rows without an id come after all others; of rows with equal id and text one
+    stays. The winners are found on ids and hashes, combined before the shuffle, and
+    only then meet the texts.
+    """
+    rows = _members(docs, doc_id, text, shingle, radius, shard_rows)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    winners = rows.groupBy("component").agg(first.alias("w")).select(
+        F.col("w.doc_id").alias("_doc_id"), F.col("w.text_key").alias("_key")
+    )
+    own = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = own[doc_id].eqNullSafe(winners["_doc_id"]) & (own["_text_key"] == winners["_key"])
+    kept = own.join(winners.distinct(), same, "left_semi")
+    return kept.dropDuplicates([doc_id, "_text_key"]).select(*[F.col(c) for c in docs.columns])

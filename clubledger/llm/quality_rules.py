@@ -84,8 +84,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     starts = F.sort_array(F.transform(twice, lambda k: at(k)["i"]))
     rows = rows.withColumn("_starts", F.when(F.col("_sorted").isNotNull(), starts))
-    return rows.select(
-        *kept,
+    measures = F.struct(
         F.size("_words").cast("bigint").alias("n_words"),
         F.length("_glued").cast("bigint").alias("word_chars"),
         (F.length("_glued") - F.length(F.regexp_replace("_glued", r"[#*$%&|<>]+", "")))
@@ -97,6 +96,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         .otherwise(_covered(F.col("_starts")))
         .alias("n_repeat_words"),
     )
+    # As a generated row, for a filter on a measurement would otherwise be moved below
+    # the steps above, with all of them repeated inside it.
+    return rows.select(*kept, F.inline(F.array(measures)))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")

@@ -48,6 +48,11 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--end", type=dt.date.fromisoformat, help="for joined_between")
     parser.add_argument("--year", type=int, help="for assembly_lists and youth_born_in")
     parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
+    parser.add_argument(
+        "--single-line",
+        action="store_true",
+        help="CSV without line breaks inside quotes: many tasks read one file",
+    )
     parser.add_argument("--strict", action="store_true", help="fail on data quality problems")
     options = parser.parse_args(arguments)
     if options.list in YEARLY and options.year is None:
@@ -68,6 +73,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         backup=options.backup,
         housemates=options.housemates,
         strict=options.strict,
+        multi_line=not options.single_line,
     )
     if options.list == "sync":
         log, snapshot = ledger.sync(spark.read.parquet(options.snapshot))

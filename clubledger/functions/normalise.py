@@ -21,8 +21,10 @@ def blank_to_null(c: Column) -> Column:
 
 
 def member_number(c: Column) -> Column:
-    """Whole number; text such as ``123.0`` (a float column) is accepted."""
-    return c.cast("string").try_cast("double").try_cast("bigint")
+    """Whole number, exact at any size; text such as ``123.0`` (a float column) is
+    accepted, anything else is missing."""
+    text = F.regexp_replace(F.trim(c.cast("string")), r"\.0+$", "")
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text).try_cast("bigint")
 
 
 def plz(c: Column) -> Column:

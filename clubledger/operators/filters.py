@@ -22,7 +22,7 @@ Comparator = Callable[[Column, Column], Column]
 
 COMPARATORS: dict[str, Comparator] = {
     "eq": lambda a, b: a.eqNullSafe(b),
-    "ne": lambda a, b: a != b,
+    "ne": lambda a, b: a.isNotNull() & ~a.eqNullSafe(b),
     "lt": lambda a, b: a < b,
     "le": lambda a, b: a <= b,
     "gt": lambda a, b: a > b,
@@ -35,8 +35,9 @@ def lookup(
 ) -> DataFrame:
     """People whose property compares true with a value.
 
-    Looking for ``None`` finds rows where the property is missing; a missing
-    property never satisfies a comparison with a value.
+    Looking for ``None`` finds rows where the property is missing, and with ``ne``
+    those where it is there; a missing property never satisfies a comparison with a
+    value.
     """
     compare = COMPARATORS[comparator] if isinstance(comparator, str) else comparator
     wanted = value if isinstance(value, Column) else F.lit(value)

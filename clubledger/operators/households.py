@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clubledger.functions.people import joined_distinct, person_label, street_key
+from clubledger.functions.people import person_label, street_key
 from clubledger.operators.components import connected_components
 from clubledger.operators.families import families_with_value, family_sizes
 from clubledger.operators.skew import (
     ROWS_PER_TASK,
-    hash_counts,
-    heavy_rows,
-    largest,
     list_join,
-    row_counts,
-    skew_join,
     table_join,
 )
 from clubledger.session import write_through
 
-# A very large household is printed on several rows of at most this many people.
-PEOPLE_PER_ROW = 10_000
+# A large household is put together from blocks of at most this many people.
+PEOPLE_PER_BLOCK = 10_000
 
 
 def with_household(people: DataFrame) -> DataFrame:
@@ -53,71 +48,63 @@ def _block(pos: Column, data_type: str, size: int) -> Column:
     return F.floor(pos / size)
 
 
-def _printed(grouped: DataFrame, *extra: Column) -> DataFrame:
-    return grouped.select(
-        F.col("name").alias("Name"),
-        F.col("first.street").alias("Strasse"),
-        F.col("first.plz").alias("PLZ"),
-        F.col("first.city").alias("Ort"),
-        F.array_join(F.transform("listed", lambda x: x["label"]), ", ").alias("Personen"),
-        *extra,
-    )
+def _ordered(people: DataFrame) -> DataFrame:
+    if "member_order" in people.columns:
+        return people
+    return with_household(people).withColumn("member_order", F.struct("pos"))
 
 
-def household_list(
-    people: DataFrame,
-    people_per_row: int = PEOPLE_PER_ROW,
-) -> DataFrame:
+def household_people(people: DataFrame) -> DataFrame:
+    """The long form: ``(household, member_order, label)``, a row per person."""
+    label = person_label(number=False).alias("label")
+    return _ordered(people).select("household", "member_order", label)
+
+
+def household_list(people: DataFrame, people_per_block: int = PEOPLE_PER_BLOCK) -> DataFrame:
     """One row per household: display name, address and the people in order.
 
-    Households so large that gathering them would burden one task continue on
-    further rows with the same name and address, each built from one block of at
-    most ``people_per_row`` positions; ``part`` orders these rows.
+    The people of a household are put together in two steps: first those of one
+    block of at most ``people_per_block`` positions, then the texts of its blocks,
+    so that no task gathers a large household person by person.
     """
-    if "member_order" not in people.columns:
-        people = with_household(people).withColumn("member_order", F.struct("pos"))
-    all_small = largest(hash_counts(people, "household")) <= people_per_row
-    sizes = row_counts(people, "household")
-    heavy = F.broadcast(heavy_rows(sizes, people_per_row).select("household"))
-    address = F.min(F.struct("member_order", "street", "plz", "city")).alias("first")
-    surnames = joined_distinct("last_name").alias("names")
-    label = person_label(number=False).alias("label")
-    listed = F.sort_array(F.collect_list(F.struct("member_order", label))).alias("listed")
-    family_name = F.concat(F.lit("Fam. "), F.col("names"))
-
+    people = _ordered(people)
     # Blocks follow the order within the household: link position, then position.
     links = [f for f in people.schema["member_order"].dataType.fieldNames() if f != "pos"]
     pos_type = people.schema["pos"].dataType.simpleString()
-    block = _block(F.col("pos"), pos_type, people_per_row).alias("block")
-    part = F.struct(*[F.col(f"member_order.{f}").alias(f) for f in links], block)
-    no_part = F.lit(None).cast(people.select(part).schema[0].dataType).alias("part")
-
-    small = people if all_small else people.join(heavy, "household", "left_anti")
-    alone = F.size("listed") == 1
-    small = (
-        small.groupBy("household")
-        .agg(address, surnames, listed)
-        .withColumn("name", F.when(alone, F.col("listed")[0]["label"]).otherwise(family_name))
+    block = _block(F.col("pos"), pos_type, people_per_block).alias("block")
+    block = F.struct(*[F.col(f"member_order.{f}").alias(f) for f in links], block).alias("block")
+    label = person_label(number=False).alias("label")
+    blocks = people.groupBy("household", block).agg(
+        F.min(F.struct("member_order", "street", "plz", "city")).alias("first"),
+        F.collect_set("last_name").alias("surnames"),
+        F.count(F.lit(1)).alias("n"),
+        F.sort_array(F.collect_list(F.struct("member_order", label))).alias("listed"),
+    )
+    text = F.array_join(F.transform("listed", lambda x: x["label"]), ", ").alias("text")
+    texts = F.sort_array(F.collect_list(F.struct("block", "text")))
+    whole = (
+        blocks.select("household", "block", "first", "surnames", "n", text)
+        .groupBy("household")
+        .agg(
+            F.min("first").alias("first"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("surnames")))).alias("surnames"),
+            F.sum("n").alias("n"),
+            F.array_join(F.transform(texts, lambda x: x["text"]), ", ").alias("text"),
+        )
+    )
+    family_name = F.concat(F.lit("Fam. "), F.array_join("surnames", " & "))
+    return whole.select(
+        F.when(F.col("n") == 1, F.col("text")).otherwise(family_name).alias("Name"),
+        F.col("first.street").alias("Strasse"),
+        F.col("first.plz").alias("PLZ"),
+        F.col("first.city").alias("Ort"),
+        F.col("text").alias("Personen"),
     )
-    if all_small:
-        return _printed(small, no_part)
-
-    large = people.join(heavy, "household", "left_semi")
-    heads = large.groupBy("household").agg(address, surnames)
-    blocks = large.groupBy("household", part.alias("part")).agg(listed)
-    n_blocks = sizes.select("household", F.ceil(F.col("n") / people_per_row).alias("n"))
-    large = skew_join(
-        blocks, heads, "household", "part", "inner", n_blocks, rows_per_task=1000
-    ).withColumn("name", family_name)
-
-    return _printed(small, no_part).unionByName(_printed(large, F.col("part")))
 
 
 def sorted_household_list(rows: DataFrame) -> DataFrame:
     """The list in printing order, missing values last."""
-    keys = ["PLZ", "Ort", "Strasse", "Name"]
-    ordered = rows.orderBy(*[F.asc_nulls_last(k) for k in keys], F.asc_nulls_first("part"))
-    return ordered.drop("part")
+    return rows.orderBy(*[F.asc_nulls_last(k) for k in ("PLZ", "Ort", "Strasse", "Name")])
 
 
 def combine_housemates(

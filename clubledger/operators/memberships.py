@@ -214,14 +214,23 @@ def overlap_cells(memberships: DataFrame) -> DataFrame:
 def overlap_matrix(memberships: DataFrame) -> DataFrame:
     """The full matrix in long form, zero cells included."""
     cells = write_through(overlap_cells(memberships), "cells")
-    # A group always overlaps itself, so its name appears among the cells.
-    names = cells.agg(F.collect_set("riege")).scalar()
-    zeros = cells.select("riege").distinct().select(
-        "riege", F.explode(names).alias("other"), F.lit(0).cast("bigint").alias("n")
+    # A group always overlaps itself, so its name appears among the cells. Every cell
+    # of the matrix is a row of the result, the pairs without a common person too.
+    names = cells.select("riege").distinct()
+    every = F.lit(1).alias("_all")
+    zeros = (
+        names.select("riege", every)
+        .join(names.select(F.col("riege").alias("other"), every), "_all")
+        .select("riege", "other", F.lit(0).cast("bigint").alias("n"))
     )
     return zeros.unionByName(cells).groupBy("riege", "other").agg(F.sum("n").alias("n"))
 
 
 def overlap_wide(matrix: DataFrame) -> DataFrame:
-    """The full matrix with one column per group."""
-    return matrix.groupBy("riege").pivot("other").agg(F.any_value("n"))
+    """The full matrix with one column per group, in order of their names.
+
+    The names become the columns of the result, so they have to be known here; with
+    them given, no limit on their number applies.
+    """
+    names = [r["other"] for r in matrix.select("other").distinct().orderBy("other").collect()]
+    return matrix.groupBy("riege").pivot("other", names).agg(F.any_value("n"))

@@ -160,7 +160,7 @@ def load_ledger(
     backup: str | None = None,
     housemates: str | None = None,
     strict: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> Ledger:
     """Read all files of a club and prepare the people every list starts from.
 
@@ -183,7 +183,7 @@ def load_ledger(
     )
     return Ledger(
         people=people,
-        group_rows=exports.read_group_rows(spark, groups),
+        group_rows=exports.read_group_rows(spark, groups, multi_line=multi_line),
         links=exports.read_housemates(spark, housemates),
         lost=lost_emails(own, references.drop("person_id")),
         as_of=as_of,

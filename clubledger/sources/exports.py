@@ -11,6 +11,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from clubledger.constants import (
     EXPORT_COLUMNS,
@@ -22,6 +23,7 @@ from clubledger.functions import normalise as N
 from clubledger.session import write_through
 
 GROUP_FILE_ENCODING = "ISO-8859-1"
+SURPLUS = "_surplus"  # where the reader puts a value beyond the last column
 
 
 def format_of(path: str) -> str:
@@ -48,12 +50,24 @@ def _position(source: int = 0) -> Column:
 def _read_csv(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
     """Semicolon-separated text with a header; a file that yields fewer than three
     columns that way is comma-separated with ``+`` as the quote character."""
-    options = {"header": True, "encoding": encoding, "multiLine": multi_line}
     # A doubled quote character inside quotes stands for itself.
-    table = spark.read.options(**options, sep=";", quote='"', escape='"').csv(path)
-    if len(table.columns) < 3:
-        table = spark.read.options(**options, sep=",", quote="+", escape="+").csv(path)
-    return table
+    ways = [{"sep": ";", "quote": '"', "escape": '"'}, {"sep": ",", "quote": "+", "escape": "+"}]
+    options = {"header": True, "encoding": encoding, "multiLine": multi_line}
+    for way in ways:
+        columns = spark.read.options(**options, **way).csv(path).columns
+        if len(columns) >= 3:
+            break
+    return _checked_csv(spark, path, columns, {**options, **way})
+
+
+def _checked_csv(spark: SparkSession, path: str, columns: list[str], options: dict) -> DataFrame:
+    """A CSV file with these columns. Cells that a row lacks are missing; a row with
+    a value beyond the last column is an error, for its cells may have slipped."""
+    schema = StructType([StructField(c, StringType()) for c in [*columns, SURPLUS]])
+    table = spark.read.options(**options).schema(schema).csv(path)
+    message = F.concat(F.lit(f"more cells than columns in {path}: "), F.col(SURPLUS))
+    slipped = F.when(F.col(SURPLUS).isNotNull(), F.raise_error(message).cast("boolean"))
+    return table.where(F.coalesce(slipped, F.lit(True)))
 
 
 def read_table(
@@ -62,12 +76,13 @@ def read_table(
     fmt: str | None = None,
     encoding: str = "UTF-8",
     source: int = 0,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """All columns of a file plus ``pos``; rows without any value are left out.
 
-    ``multi_line`` is for CSV with line breaks inside quotes; such a file is read
-    by one task, so large exports should come without or in many files.
+    CSV may have line breaks inside quotes, so one task reads a whole file; a large
+    export should be Parquet, or many files, or, if it has no such line breaks, be
+    read without ``multi_line``, which many tasks do together.
     """
     fmt = fmt or format_of(path)
     if fmt == "csv":
@@ -76,8 +91,9 @@ def read_table(
         table = spark.read.parquet(path)
     else:
         raise ValueError(f"unknown file type: {fmt}")
-    columns = table.columns
-    return table.select("*", _position(source).alias("pos")).na.drop("all", subset=columns)
+    columns = [c for c in table.columns if c != SURPLUS]
+    rows = table.select("*", _position(source).alias("pos")).drop(SURPLUS)
+    return rows.na.drop("all", subset=columns)
 
 
 def _column(table: DataFrame, name: str) -> Column | None:
@@ -136,7 +152,7 @@ def read_people(
     as_of: dt.date,
     fmt: str | None = None,
     source: int = 0,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A people file (member export, extra recipients, unsubscribe list, backup)."""
     table = read_table(spark, path, fmt, source=source, multi_line=multi_line)
@@ -154,8 +170,10 @@ def group_rows(table: DataFrame) -> DataFrame:
     )
 
 
-def read_group_rows(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    return group_rows(read_table(spark, path, fmt, GROUP_FILE_ENCODING))
+def read_group_rows(
+    spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    return group_rows(read_table(spark, path, fmt, GROUP_FILE_ENCODING, multi_line=multi_line))
 
 
 def housemate_links(table: DataFrame) -> DataFrame:
@@ -179,7 +197,9 @@ def read_housemates(
         )
         return housemate_links(empty)
     if (fmt or format_of(path)) == "csv":
-        table = spark.read.option("header", True).option("sep", ";").csv(path)
+        options = {"header": True, "sep": ";", "escape": '"', "multiLine": True}
+        columns = spark.read.options(**options).csv(path).columns
+        table = _checked_csv(spark, path, columns, options)
     else:
         table = spark.read.parquet(path)
     return housemate_links(

@@ -76,7 +76,7 @@ def expected_list(rows, texts=()):
 
 
 def printed(df):
-    return sorted((tuple(r) for r in df.drop("part").collect()), key=str)
+    return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -122,26 +122,30 @@ def test_merged_family_name_address_and_order(spark):
 
 
 @pytest.mark.parametrize("linked", [False, True])
-def test_large_household_continues_on_further_rows(spark, linked):
+def test_large_household_is_one_row(spark, linked):
     rows = [(i, i, i, f"V{i}", "Gross", "Weg 1", "5436", "Ort") for i in range(25)]
     rows += [(100, 100, 100, "Eva", "Klein", "Gasse 2", "5436", "Ort")]
     people = table(spark, rows).repartition(3)
+    texts = ["3, 100"] if linked else []
     if linked:
-        people = households.combine_housemates(people, links_of(spark, ["3, 100"]))
-    listed = households.sorted_household_list(households.household_list(people, people_per_row=10))
-    # Counted from the rows: a household of 25 or 26 people is cut into blocks of
-    # ten positions, all under the name and address of the whole household.
-    everyone, big = [], []
-    for r in listed.collect():
-        everyone += r.Personen.split(", ")
-        if r.Name.startswith("Fam."):
-            big.append(r)
-    assert sorted(everyone) == sorted(f"{r[3]} {r[4]}" for r in rows)
-    assert {(r.Name, r.Strasse) for r in big} == {
-        ("Fam. Gross & Klein" if linked else "Fam. Gross", "Weg 1")
-    }
-    assert [r.Personen.split(", ")[0] for r in big][:3] == ["V0 Gross", "V10 Gross", "V20 Gross"]
-    assert all(len(r.Personen.split(", ")) <= 10 for r in big)
+        people = households.combine_housemates(people, links_of(spark, texts))
+    # In blocks of ten or of all: the same rows, as plain Python has them.
+    for size in (10, 10_000):
+        assert printed(households.household_list(people, size)) == expected_list(rows, texts)
+    assert households.household_people(people).count() == len(rows)
+
+
+def test_household_of_25000_is_one_row(spark):
+    big = spark.range(25_000).selectExpr(
+        "id AS person_id", "id AS pos", "id AS member_number", "concat('V', id) AS first_name",
+        "'Gross' AS last_name", "'Weg 1' AS street", "'5436' AS plz", "'Ort' AS city",
+    )
+    others = big.withColumn("street", F.concat(F.lit("Gasse "), "pos"))
+    others = others.withColumns({c: F.col(c) + 100_000 for c in ("person_id", "pos")})
+    alone = households.household_list(big).collect()
+    among = households.household_list(big.unionByName(others)).where("Strasse = 'Weg 1'").collect()
+    assert len(alone) == 1 and alone == among
+    assert alone[0].Personen == ", ".join(f"V{i} Gross" for i in range(25_000))
 
 
 def test_list_is_sorted_missing_last(spark):

@@ -235,7 +235,7 @@ def test_positions_follow_the_file_across_blocks(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        table = read_table(spark, str(path))
+        table = read_table(spark, str(path), multi_line=False)
         assert table.rdd.getNumPartitions() > 4
         numbers = [int(r.MITGLIEDERNR) for r in table.orderBy("pos").select("MITGLIEDERNR").collect()]
         assert numbers == list(range(5000))
@@ -278,3 +278,21 @@ def test_quotes_and_blanks_survive(spark, tmp_path):
     assert row["leer"] == "" and row["nichts"] == ""
     with pytest.raises(ValueError):
         write_list(rows, out + "2", fmt="xlsx")
+
+
+def test_line_breaks_inside_quotes_are_one_record(spark, tmp_path):
+    path = tmp_path / "members.csv"
+    path.write_text('A;B;C\n1;"two\nlines";x\n2;"a ""b""";\n3\n', encoding="utf-8")
+    rows = read_table(spark, str(path)).orderBy("pos").drop("pos").collect()
+    assert [tuple(r) for r in rows] == [("1", "two\nlines", "x"), ("2", 'a "b"', None), ("3", None, None)]
+
+
+def test_cells_beyond_the_last_column_are_refused(spark, tmp_path):
+    path = tmp_path / "groups.csv"
+    path.write_text("MITGLIEDERNR;FUNKTIOND;ORGANTITEL\n1;a;b\n2;a;b;c\n", encoding="ISO-8859-1")
+    with pytest.raises(Exception, match="more cells than columns"):
+        read_group_rows(spark, str(path)).collect()
+    mates = tmp_path / "mates.csv"
+    mates.write_text("Mitgliedernummern\n1, 2\n3, 4;5\n", encoding="utf-8")
+    with pytest.raises(Exception, match="more cells than columns"):
+        read_housemates(spark, str(mates)).collect()

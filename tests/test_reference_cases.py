@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clubledger.constants import NEWSLETTER_CATEGORIES
-from clubledger.functions.normalise import parse_date
+from clubledger.functions.normalise import member_number, parse_date
 from clubledger.functions.people import age_at
 from clubledger.operators import byexample, families, filters
 from clubledger.operators.newsletter import newsletter_rows, newsletter_text
@@ -107,7 +107,7 @@ def test_lookups(people):
     assert filters.lookup(people, "birthday", day, "ge").count() == 3
     assert filters.lookup(people, "birthday", day, lambda a, b: a < b).count() == 1
     assert filters.lookup(people, "email", None).count() == 1
-    assert filters.lookup(people, "member_number", None, "ne").count() == 0
+    assert filters.lookup(people, "member_number", None, "ne").count() == 3
 
 
 def test_clear_by_example(spark, people):
@@ -172,3 +172,10 @@ def test_newsletter_table(spark, tmp_path):
             "kitu": "True",
         },
     ]
+
+
+def test_member_numbers_are_exact(spark):
+    texts = ["9007199254740993", "123.0", " 7 ", "12.7", "1e3", "x", "", None]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r[0] for r in table.select(member_number(table["t"])).collect()]
+    assert found == [9007199254740993, 123, 7, None, None, None, None, None]

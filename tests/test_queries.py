@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from clubledger.workload.check_sql import SQL
+from clubledger.workload.queries import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="benchmark tables are not here")
@@ -24,14 +26,15 @@ def plain(rows):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
-    found = contract.queries()[name](spark, str(DATA))
+    found = QUERIES[name](spark, str(DATA))
     columns = sorted(found.columns)
-    expected = sql.sql(contract.oracle_sql()[name])
+    expected = sql.sql(SQL[name])
     assert columns == sorted(expected.columns)
     quoted = [f'"{c}"' for c in columns]
     rows = expected.select(*quoted).fetchall()

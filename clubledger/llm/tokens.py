@@ -3,14 +3,17 @@
 The tokenizers library needs microseconds per word, most of them for words it has
 met before. Both kinds of tokenizer used here look at a text in stretches that never
 reach over ASCII blanks, so the ids of a text are those of its stretches, one after
-the other. Each stretch is given to the library once and remembered, up to a number
-of stretches. A text with blanks outside ASCII goes to the library whole.
+the other. Each stretch is tokenized once and remembered, up to a number of
+stretches. A stretch of plain Latin letters is one word to both kinds, so the
+library's model gets it directly, in the byte alphabet it expects; all others go
+through the whole library. A text with blanks outside ASCII is a stretch by itself.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -18,15 +21,34 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: Stretches remembered by one worker; twice as many while the older half ages.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Stretches given to the library at once.
 AT_ONCE = 20_000
 
 # Blanks, or characters that some library counts as such, other than the ASCII six.
 _ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁠　﻿]")
+# Letters that no normalizer here changes other than by lower-casing them, where a
+# blank, the end, or a mark follows that no tokenizer takes together with letters.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_ALONE = _LETTERS + r"""(?=[ \t-\r.,;:!?|%$&*#@/()"-]|\Z)"""
+_WITHOUT_BLANKS = re.compile(rf"{_ALONE}|[^ \t-\r]+")
 # Blanks go with the word after them: one space, at most, joins it.
-_WITH_BLANKS = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+_WITH_BLANKS = re.compile(
+    rf" ?{_ALONE}| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+)
 
+_PLAIN = re.compile(f" ?{_LETTERS}")
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level tokenizers write every byte as a visible character: itself, or the
+    next one from 256 on."""
+    hidden = [b for b in range(256) if b not in _SHOWN]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_ALPHABET = _byte_alphabet()
 _loaded: dict[str, Encoder] = {}
 
 
@@ -41,10 +63,23 @@ class Encoder:
         keeps = self.library.normalizer is None and isinstance(
             self.library.pre_tokenizer, ByteLevel
         )
-        self.stretches = _WITH_BLANKS.findall if keeps else str.split
+        self.stretches = (_WITH_BLANKS if keeps else _WITHOUT_BLANKS).findall
+        self.model = self.library.model
+        self.lowers = self.library.normalizer is not None
+        self.kind = "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _encode_plain(self, word: str) -> bytes:
+        """A word of plain letters, perhaps after a space: the model's ids of it."""
+        if self.lowers:
+            word = word.lower()
+        if word.isascii():
+            shown = word.replace(" ", chr(_ALPHABET[0x20]))
+        else:
+            shown = word.encode().decode("latin-1").translate(_ALPHABET)
+        return array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -53,7 +88,12 @@ class Encoder:
     def _learn(self, new: set[str]) -> None:
         remembered = [w for w in new if w in self.older]
         self.known.update((w, self.older[w]) for w in remembered)
-        rest = list(new.difference(remembered))
+        rest = []
+        for w in new.difference(remembered):
+            if _PLAIN.fullmatch(w):
+                self.known[w] = self._encode_plain(w)
+            else:
+                rest.append(w)
         for i in range(0, len(rest), AT_ONCE):
             part = rest[i : i + AT_ONCE]
             self.known.update(zip(part, self._encode(part), strict=True))

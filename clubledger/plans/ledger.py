@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clubledger.constants import ORGAN_GROUPS
 from clubledger.operators import filters, memberships, quality
 from clubledger.operators.addresses import address_list
-from clubledger.operators.byexample import lost_emails
+from clubledger.operators.byexample import empty_references, lost_emails
 from clubledger.operators.households import (
     combine_housemates,
     household_list,
@@ -181,6 +181,8 @@ def load_ledger(
     people = write_through(
         main_people(own, side_list(removed).select("email"), extras.select(*own.columns)), "people"
     )
+    if strict:
+        empty_references(own, references.where(F.col("email").isNotNull()), ["email"], strict)
     return Ledger(
         people=people,
         group_rows=exports.read_group_rows(spark, groups, multi_line=multi_line),

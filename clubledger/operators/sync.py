@@ -1,7 +1,8 @@
 """Synchronising newsletter rows with a snapshot of the mailing service.
 
-``receivers(receiver_id, email, updated, status, ...)`` is the snapshot; its
-addresses are unique.
+``receivers(receiver_id, email, updated, status, ...)`` is the snapshot, if it has
+them with ``global_attributes``, a map of texts. Its addresses are there and unique,
+which ``address_problems`` checks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clubledger.constants import RECEIVER_TYPES
+from clubledger.operators.quality import require_none
 
 
 def is_stale(as_of: dt.date) -> Column:
@@ -55,17 +57,47 @@ def receiver_stats(receivers: DataFrame) -> DataFrame:
     return receivers.agg(F.count(F.lit(1)).alias("total_count"), *counts)
 
 
-def _merged(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFrame:
-    """Snapshot and incoming addresses side by side, with what happens to each.
+ATTRIBUTES = "global_attributes"
+
+
+def address_problems(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """``(email, n)`` of addresses that are missing or occur more than once, in a
+    snapshot or a push; ``strict`` raises if there are any."""
+    counts = rows.groupBy("email").agg(F.count(F.lit(1)).alias("n"))
+    return require_none(
+        counts.where("n > 1 OR email IS NULL"), "missing or repeated addresses", strict
+    )
+
+
+def merged(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFrame:
+    """Snapshot and incoming receivers side by side, with what happens to each.
 
     One full join on the address, unique on both sides. The flags are the steps
-    of the sync in order: push, delete what the push left stale, activate.
+    of the sync in order: push, delete what the push left stale, activate. Where
+    either side has attributes, a pushed receiver has those of both, the incoming
+    value where they differ; a receiver that is not pushed keeps its own.
     """
-    push = incoming.select("email", F.lit(True).alias("_pushed"))
-    known = receivers.select("email", "receiver_id", "updated", "status", F.lit(True).alias("_known"))
+    with_attributes = ATTRIBUTES in [*receivers.columns, *incoming.columns]
+
+    def attributes(rows: DataFrame, name: str) -> list[Column]:
+        none = F.lit(None).cast("map<string,string>")
+        own = F.col(ATTRIBUTES) if ATTRIBUTES in rows.columns else none
+        return [own.alias(name)] if with_attributes else []
+
+    push = incoming.select("email", F.lit(True).alias("_pushed"), *attributes(incoming, "_new"))
+    known = receivers.select(
+        "email", "receiver_id", "updated", "status", F.lit(True).alias("_known"),
+        *attributes(receivers, "_old"),
+    )
     both = known.join(push, "email", "full")
     pushed, is_known = F.col("_pushed").isNotNull(), F.col("_known").isNotNull()
     deleted = ~pushed & is_stale(as_of)
+    empty = F.create_map().cast("map<string,string>")
+    together = F.map_zip_with(
+        F.coalesce("_old", empty) if with_attributes else empty,
+        F.coalesce("_new", empty) if with_attributes else empty,
+        lambda _, old, new: F.coalesce(new, old),
+    )
     return both.select(
         "email",
         "receiver_id",
@@ -75,26 +107,40 @@ def _merged(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFr
         (pushed & is_known).alias("refreshed"),
         deleted.alias("deleted"),
         (is_known & ~deleted & (F.col("status") == "inactive")).alias("activated"),
+        *([together.alias(ATTRIBUTES)] if with_attributes else []),
     )
 
 
-def change_log(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFrame:
-    """``(email, action)`` of a whole sync; one address may have two actions."""
+def log_of(rows: DataFrame) -> DataFrame:
+    """``(email, action)`` of merged rows; one address may have two actions."""
     actions = {"insert": "inserted", "update": "refreshed", "delete": "deleted", "activate": "activated"}
     taken = F.array_compact(F.array(*[F.when(F.col(c), F.lit(a)) for a, c in actions.items()]))
-    return _merged(receivers, incoming, as_of).select("email", F.explode(taken).alias("action"))
+    return rows.select("email", F.explode(taken).alias("action"))
 
 
-def synced_snapshot(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFrame:
-    """The snapshot after the sync; new receivers have no id yet."""
-    after = _merged(receivers, incoming, as_of).where(~F.col("deleted"))
+def snapshot_of(rows: DataFrame) -> DataFrame:
+    """The snapshot that merged rows leave; new receivers have no id yet."""
+    after = rows.where(~F.col("deleted"))
     status = F.when(F.col("activated"), "active").otherwise(F.col("status"))
-    return after.select("receiver_id", "email", "updated", status.alias("status"))
+    attributes = [c for c in rows.columns if c == ATTRIBUTES]
+    return after.select("receiver_id", "email", "updated", status.alias("status"), *attributes)
+
+
+def change_log(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFrame:
+    """``(email, action)`` of a whole sync."""
+    return log_of(merged(receivers, incoming, as_of))
+
+
+def synced_snapshot(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFrame:
+    """The snapshot after the sync."""
+    return snapshot_of(merged(receivers, incoming, as_of))
 
 
 def upsert_receivers(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFrame:
     """The snapshot after the push alone."""
-    return _merged(receivers, incoming, as_of).select("receiver_id", "email", "updated", "status")
+    rows = merged(receivers, incoming, as_of)
+    attributes = [c for c in rows.columns if c == ATTRIBUTES]
+    return rows.select("receiver_id", "email", "updated", "status", *attributes)
 
 
 def delete_receivers(receivers: DataFrame, ids: DataFrame) -> DataFrame:

@@ -19,12 +19,11 @@ from clubledger.operators.households import (
     sorted_household_list,
 )
 from clubledger.operators.newsletter import (
-    newsletter_emails,
     newsletter_rows,
     receiver_payload,
 )
 from clubledger.operators.statistics import club_statistics, statistics_text
-from clubledger.operators.sync import change_log, synced_snapshot
+from clubledger.operators.sync import address_problems, log_of, merged, snapshot_of
 from clubledger.plans.main_people import main_people
 from clubledger.session import write_through
 from clubledger.sinks import files
@@ -109,12 +108,14 @@ class Ledger:
 
     # -- synchronisation -------------------------------------------------------
     def sync(self, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Change log and new snapshot of the mailing service."""
-        incoming = newsletter_emails(self.people)
-        return (
-            change_log(snapshot, incoming, self.as_of),
-            synced_snapshot(snapshot, incoming, self.as_of),
-        )
+        """Change log and new snapshot of the mailing service, attributes included.
+
+        Both come from one merged table, which is written once.
+        """
+        address_problems(snapshot, self.strict)
+        incoming = self.receivers().select("email", "global_attributes")
+        rows = write_through(merged(snapshot, incoming, self.as_of), "sync")
+        return log_of(rows), snapshot_of(rows)
 
     # -- files -----------------------------------------------------------------
     def export(self, name: str, folder: str, fmt: str = "csv", **arguments) -> str:

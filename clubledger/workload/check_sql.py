@@ -392,6 +392,24 @@ FROM pushed WHERE updated = {AS_OF}""",
     "sync_pushed": _with(
         SYNC_INPUTS, f"{MERGED}\nSELECT receiver_id, email, updated, status FROM pushed"
     ),
+    "sync_attributes": _with(
+        SYNC_INPUTS,
+        f"""{MERGED},
+rows_ AS ({_newsletter('prepared')}),
+printed AS ({_PRINT}),
+payload AS ({_PAYLOAD}),
+kept AS (SELECT * FROM pushed WHERE updated = {AS_OF})
+SELECT email, attribute, attribute_value FROM payload
+UNION ALL SELECT email, 'note', 'alt' FROM kept WHERE known
+UNION ALL SELECT email, 'firstname', 'Alt' FROM kept WHERE known AND NOT incoming""",
+    ),
+    "lookup_not_missing": _with(
+        ["people"], "SELECT person_id, birthday FROM people WHERE birthday IS NOT NULL"
+    ),
+    "group_matrix_wide": _with(
+        ["people", "organ_rows"],
+        f"{CELLS}\nSELECT other, CAST(SUM(n) AS BIGINT) AS n FROM cells GROUP BY other",
+    ),
     "receivers_deleted": _with(
         ["people", "receivers"], f"SELECT * FROM receivers WHERE updated = {AS_OF}"
     ),

@@ -398,6 +398,28 @@ def sync_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def sync_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.create_map(*[F.lit(x) for x in ("note", "alt", "firstname", "Alt")])
+    receivers = derived(spark, sf_dir, "receivers").withColumn("global_attributes", known)
+    incoming = receiver_payload(newsletter_rows(_main(spark, sf_dir), AS_OF))
+    after = sync.synced_snapshot(receivers, incoming, AS_OF)
+    return after.select("email", F.explode("global_attributes").alias("attribute", "attribute_value"))
+
+
+@query
+def lookup_not_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.lookup(people(spark, sf_dir), "birthday", None, "ne").select("person_id", "birthday")
+
+
+@query
+def group_matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide matrix as the names of its columns, with their sums."""
+    wide = memberships.overlap_wide(group_matrix(spark, sf_dir))
+    names = [c for c in wide.columns if c != "riege"]
+    return wide.unpivot("riege", names, "other", "n").groupBy("other").agg(F.sum("n").alias("n"))
+
+
 @query
 def receivers_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     receivers = derived(spark, sf_dir, "receivers")

@@ -10,6 +10,7 @@ from clubledger.constants import DELETE_OK, UPSERT_OK
 from clubledger.functions.people import add_tags, remove_value
 from clubledger.operators import quality, sync
 from clubledger.operators.newsletter import newsletter_rows, receiver_json, receiver_payload
+from clubledger.operators.quality import DataQualityError
 from clubledger.operators.unsubscribe import unsubscribe
 from clubledger.plans.main_people import main_people
 
@@ -187,3 +188,22 @@ def test_tags(spark):
     assert cleared.where("person_id = 1").first().emails is None
     untouched = remove_value(people(spark), "email", None)
     assert untouched.where("email IS NULL").count() == 1
+
+
+def test_attributes_of_a_push(spark):
+    day = TODAY
+    schema = "receiver_id bigint, email string, updated date, status string, global_attributes map<string,string>"
+    receivers = spark.createDataFrame(
+        [(1, "a", None, "active", {"x": "1", "y": "2"}), (2, "b", day, "inactive", {"x": "3"}), (3, "c", None, "bounce", None)],
+        schema,
+    )
+    pushed = spark.createDataFrame(
+        [("a", {"y": "9", "z": None}), ("d", {"y": "8"})], "email string, global_attributes map<string,string>"
+    )
+    after = {r.email: r.global_attributes for r in sync.synced_snapshot(receivers, pushed, day).collect()}
+    assert after == {"a": {"x": "1", "y": "9", "z": None}, "b": {"x": "3"}, "d": {"y": "8"}}
+    assert "c" in {r.email for r in sync.upsert_receivers(receivers, pushed, day).collect()}
+    twice = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "email string")
+    assert {(r.email, r.n) for r in sync.address_problems(twice).collect()} == {("a", 2), (None, 1)}
+    with pytest.raises(DataQualityError):
+        sync.address_problems(twice, strict=True)

@@ -1,10 +1,11 @@
 """Token counts by source, language and tokenizer version, kept up by signed deltas.
 
-A ledger is a folder. Every batch of events (inserts, deletes, revised counts) becomes
-signed rows per document, below ``deltas``, and their sums, below ``rollups``. Totals
-are sums of rollups, so bringing them up to date reads a few rows per batch and never
-the documents again. A batch counts from the moment its rollup is complete; before
-that a repeated commit replaces what a failed one left, after that it changes nothing.
+A ledger is a folder. Every batch of events (inserts, deletes, revised counts) is kept
+below ``events`` and becomes signed rows per document, below ``deltas``, and their sums,
+below ``rollups``. Totals are sums of rollups, so bringing them up to date reads a few
+rows per batch and never the documents again. A batch counts from the moment its rollup
+is complete; before that a repeated commit replaces what a failed one left, after that
+it changes nothing.
 """
 
 from __future__ import annotations
@@ -139,6 +140,10 @@ class TokenLedger:
             checked.alias("event"),
             "sequence",
         )
+        # Counting tokens is dear: the events are evaluated once, here.
+        staged = f"{self.path}/events/{batch}"
+        rows.write.mode("overwrite").parquet(staged)
+        rows = self.spark.read.schema(rows.schema).parquet(staged)
         with_id, without = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
         latest = Window.partitionBy("doc_id", "tokenizer").orderBy(
             F.col("sequence").desc(), "event", "source", "lang", "tokens"

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: Stretches remembered by one worker; twice as many while the older half ages.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Stretches given to the library at once.
 AT_ONCE = 20_000
 

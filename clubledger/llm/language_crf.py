@@ -346,7 +346,7 @@ def predict_language(
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in rows_in_pieces(whole, 8 << 20):
+            for batch in rows_in_pieces(whole, 4 << 20):
                 names, scores = label_texts(shared.value, batch.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [

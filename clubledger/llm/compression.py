@@ -4,12 +4,12 @@ One dictionary is trained on text of label 1, the other on text of label 0. A te
 cut into short windows, each window is compressed with both, and the differences in
 length, together with a calibration fitted to labelled texts, make the score.
 
-Where a label colours the whole text (quality), zstandard's trainer gets all windows
-of a label. Where it shows in a few words (toxicity), the dictionaries contrast: both
-have the same stock, trained on what the labels have in common, and each ends in a
-cover of the stretches of bytes that many documents of its label, and few of the
-other, contain: the most frequent passages first, each one only if it brings a
-stretch not covered yet. So they differ in what is typical and in nothing else.
+zstandard's trainer gets all windows of a label. Where a label shows in a few words
+(toxicity), a second pair of dictionaries adds features of its own: both have the same
+stock, trained on what the labels have in common, and each ends in a cover of the
+stretches of bytes that its label's documents contain significantly more often than
+the other's: the most frequent passages first, each one only if it brings a stretch
+not covered yet. So these two differ in what is typical and in nothing else.
 
 Fitting uses a bounded sample of labelled documents; scoring reads every text whole,
 in one pass without a shuffle.
@@ -37,22 +37,20 @@ STOCK, PLAIN = 16384, 8192
 GRAM = 5  # bytes of the stretches that are counted
 BUCKETS = 1 << 22
 LIFT = 10  # typical: in so many times the share of the other label's documents
-FEATURES = 8
+FALSE = 0.05  # of the typical stretches, the expected share that is so by chance
+OWN = 98_304  # bytes of typical passages, which with the stock fit a window of zstandard
+FEATURES = 8  # of each pair of dictionaries
 SAMPLES = 30_000  # windows that a dictionary is trained on
 
 
 @dataclass
 class Settings:
     """How texts are read and dictionaries made: words per window, whether letter case
-    is ignored, whether the dictionaries contrast; if so, the most bytes of each
-    one's own part, and the share of its label's documents that a typical stretch
-    has to be in."""
+    is ignored, whether a contrasting pair is added to the plain one."""
 
     window_words: int = 16
     fold_case: bool = False
     contrast: bool = False
-    own_bytes: int = 512
-    share: float = 0.04
 
     def windows(self, text: bytes) -> list[bytes]:
         words = text.split()
@@ -82,12 +80,39 @@ def _document_counts(texts: list[bytes]) -> np.ndarray:
     return counts
 
 
-def _typical(
-    own: np.ndarray, n_own: int, other: np.ndarray, n_other: int, share: float
-) -> np.ndarray:
-    """Which hashed stretches are typical of one label's documents."""
-    here, there = own / n_own, other / n_other
-    return (own >= 4) & (here >= share) & (here > LIFT * there + 0.002)
+def _tails(own: np.ndarray, other: np.ndarray, share: float) -> np.ndarray:
+    """How likely at least ``own`` of ``own + other`` documents have a label of that
+    share by chance."""
+    total = own + other
+    most = int(total.max(initial=0))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])
+    out = np.zeros(len(own))
+    for i, (k, n) in enumerate(zip(own, total, strict=True)):
+        j = np.arange(k, n + 1)
+        log = logs[n] - logs[j] - logs[n - j] + j * np.log(share) + (n - j) * np.log1p(-share)
+        out[i] = np.exp(log).sum()
+    return out
+
+
+def _typical(own: np.ndarray, n_own: int, other: np.ndarray, n_other: int) -> np.ndarray:
+    """Which hashed stretches are typical of one label's documents: in ``LIFT`` times
+    the share of the other's, and significantly so. The evidence asked for falls with
+    the number of stretches that have it (Benjamini and Hochberg's step-up), so many
+    rare terms are found as a few frequent ones are."""
+    seen = np.flatnonzero((own > 0) | (other > 0))
+    pairs, which = np.unique(
+        np.stack([own[seen], other[seen]]).astype(np.int64), axis=1, return_inverse=True
+    )
+    chance = np.ones(pairs.shape[1])
+    lifted = pairs[0] * n_other > LIFT * pairs[1] * n_own
+    chance[lifted] = _tails(*pairs[:, lifted], n_own / (n_own + n_other))
+    chance = chance[which.ravel()]
+    ranked = np.sort(chance)
+    passing = np.flatnonzero(ranked <= FALSE * np.arange(1, len(seen) + 1) / max(1, len(seen)))
+    typical = np.zeros(len(own), bool)
+    if len(passing):
+        typical[seen[chance <= ranked[passing[-1]]]] = True
+    return typical
 
 
 def _cover(texts: list[bytes], typical: np.ndarray, most: int) -> bytes:
@@ -126,10 +151,12 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 
 def _compressor(content: bytes, fine: bool) -> zstandard.ZstdCompressor:
+    # Tables that hold every place of the dictionary.
+    log = max(14, len(content).bit_length())
     parameters = zstandard.ZstdCompressionParameters(
         window_log=17,
-        chain_log=14,
-        hash_log=14,
+        chain_log=log,
+        hash_log=log,
         search_log=4,
         min_match=3 if fine else 4,
         target_length=16,
@@ -146,53 +173,75 @@ def _compressor(content: bytes, fine: bool) -> zstandard.ZstdCompressor:
 @dataclass
 class CompressionModel:
     settings: Settings
-    one: bytes  # the dictionary of label 1
-    zero: bytes  # the dictionary of label 0
+    #: Dictionaries of label 1 and label 0: the plain pair, then the contrasting one.
+    pairs: list[tuple[bytes, bytes]]
     means: np.ndarray = None
     scales: np.ndarray = None
     weights: np.ndarray = None
     bias: float = 0.0
-    _pair: tuple = field(default=None, repr=False, compare=False)
+    _made: list = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_pair": None}
+        return {**self.__dict__, "_made": None}
 
-    def differences(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def differences(
+        self, text: bytes, pair: int = -1
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per window: bytes that label 1 saves over label 0, bytes under label 0,
         bytes uncompressed."""
-        if self._pair is None:
-            made = [_compressor(d, self.settings.contrast) for d in (self.one, self.zero)]
-            self._pair = made[0].compress, made[1].compress
-        one, zero = self._pair
-        windows = self.settings.windows(text)
+        return self._differences(self.settings.windows(text), pair)
+
+    def _differences(self, windows: list[bytes], pair: int):
+        if self._made is None:
+            self._made = [
+                tuple(_compressor(d, fine=k > 0).compress for d in own)
+                for k, own in enumerate(self.pairs)
+            ]
+        one, zero = self._made[pair]
         sizes = np.fromiter(map(len, windows), np.int64, len(windows))
-        with_zero = np.fromiter((len(zero(w)) for w in windows), np.int64, len(windows))
-        with_one = np.fromiter((len(one(w)) for w in windows), np.int64, len(windows))
+        with_zero = np.fromiter(map(len, map(zero, windows)), np.int64, len(windows))
+        with_one = np.fromiter(map(len, map(one, windows)), np.int64, len(windows))
         return with_zero - with_one, with_zero, sizes
 
-    def features(self, text: bytes) -> list[float]:
-        saved, packed, sizes = self.differences(text)
-        if not len(saved):
-            return [0.0] * FEATURES
-        top = np.sort(saved)[::-1]
-        total = sizes.sum()
-        return [
-            saved.sum() / total,
-            float(top[:3].mean()),
-            float(top[-3:].mean()),
-            float((saved >= 1).mean()),
-            float((saved >= 3).mean()),
-            float((saved <= -1).mean()),
-            float((saved <= -3).mean()),
-            packed.sum() / total,
-        ]
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """One row per text; zeros for one without a window. The windows of all texts
+        go through one dictionary after the other."""
+        windows = [self.settings.windows(t) for t in texts]
+        lengths = np.fromiter(map(len, windows), np.int64, len(windows))
+        flat = [w for own in windows for w in own]
+        out = np.zeros((len(texts), FEATURES * len(self.pairs)))
+        held = np.flatnonzero(lengths)
+        if not len(held):
+            return out
+        n = lengths[held]
+        starts = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(held)), n)
+        for pair in range(len(self.pairs)):
+            saved, packed, sizes = self._differences(flat, pair)
+            total = np.add.reduceat(sizes, starts)
+            # Sums over the first windows of a text by what they save, and over the last.
+            sums = np.concatenate([[0], np.cumsum(saved[np.lexsort((saved, owner))])])
+            few = np.minimum(n, 3)
+            found = [
+                np.add.reduceat(saved, starts) / total,
+                (sums[starts + n] - sums[starts + n - few]) / few,
+                (sums[starts + few] - sums[starts]) / few,
+                np.add.reduceat((saved >= 1).astype(np.int64), starts) / n,
+                np.add.reduceat((saved >= 3).astype(np.int64), starts) / n,
+                np.add.reduceat((saved <= -1).astype(np.int64), starts) / n,
+                np.add.reduceat((saved <= -3).astype(np.int64), starts) / n,
+                np.add.reduceat(packed, starts) / total,
+            ]
+            out[held, pair * FEATURES : (pair + 1) * FEATURES] = np.stack(found, 1)
+        return out
 
     def score(self, text: str | None) -> float:
-        return float(self.scores([self.features(self.settings.bytes_of(text))])[0])
+        return float(self.scores([text])[0])
 
-    def scores(self, features: list[list[float]]) -> np.ndarray:
-        x = (np.array(features, dtype=float) - self.means) / self.scales
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        features = self.features([self.settings.bytes_of(t) for t in texts])
+        x = (features - self.means) / self.scales
+        return 1 / (1 + np.exp(-np.clip((x * self.weights).sum(axis=1) + self.bias, -30, 30)))
 
 
 def _calibrate(model: CompressionModel, features: np.ndarray, labels: np.ndarray, base: float):
@@ -226,15 +275,14 @@ def _plain(by_label: list[list[bytes]], settings: Settings) -> list[bytes]:
 
 def _contrasting(by_label: list[list[bytes]], settings: Settings) -> list[bytes]:
     """Dictionaries that share their stock and differ in typical stretches."""
+    by_label = [list(dict.fromkeys(own)) for own in by_label]  # copies are no evidence
     counts = [_document_counts(own) for own in by_label]
     sizes = [max(1, len(own)) for own in by_label]
-    typical = [
-        _typical(counts[k], sizes[k], counts[1 - k], sizes[1 - k], settings.share) for k in (0, 1)
-    ]
+    typical = [_typical(counts[k], sizes[k], counts[1 - k], sizes[1 - k]) for k in (0, 1)]
     either = typical[0] | typical[1]
     windows = [w for own in by_label for t in own for w in settings.windows(t)]
     stock = _trained([w for w in windows if not either[_gram_codes(w)].any()], STOCK)
-    own = [_cover(by_label[k], typical[k], settings.own_bytes) for k in (0, 1)]
+    own = [_cover(by_label[k], typical[k], OWN) for k in (0, 1)]
     # Both of one length, so that the stock lies at the same distance from a window.
     size = max(map(len, own))
     return [stock + bytes(size - len(o)) + o for o in own]
@@ -247,10 +295,10 @@ def fit(texts: list[str], labels: list[int], settings: Settings, base: float) ->
     for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
         parts[i % 2].append((settings.bytes_of(text), label))
     by_label = [[t for t, y in parts[0] if y == label] for label in (0, 1)]
-    make = _contrasting if settings.contrast else _plain
-    zero, one = make(by_label, settings)
-    model = CompressionModel(settings, one, zero)
-    features = np.array([model.features(t) for t, _ in parts[1]])
+    makers = [_plain, _contrasting] if settings.contrast else [_plain]
+    pairs = [tuple(reversed(make(by_label, settings))) for make in makers]
+    model = CompressionModel(settings, pairs)
+    features = model.features([t for t, _ in parts[1]])
     known = np.array([y for _, y in parts[1]])
     if 0 < known.sum() < len(known):
         _calibrate(model, features, known, base)
@@ -260,15 +308,15 @@ def fit(texts: list[str], labels: list[int], settings: Settings, base: float) ->
 
 
 def _constant(model: CompressionModel, base: float) -> None:
-    model.means, model.scales = np.zeros(FEATURES), np.ones(FEATURES)
-    model.weights = np.zeros(FEATURES)
+    n = FEATURES * len(model.pairs)
+    model.means, model.scales, model.weights = np.zeros(n), np.ones(n), np.zeros(n)
     base = min(max(base, 1e-6), 1 - 1e-6)
     model.bias = float(np.log(base / (1 - base)))
 
 
 def constant_model(settings: Settings, base: float = 0.5) -> CompressionModel:
     """A model without labelled text: every text scores ``base``."""
-    model = CompressionModel(settings, b"\0" * 8, b"\0" * 8)
+    model = CompressionModel(settings, [(b"\0" * 8, b"\0" * 8)])
     _constant(model, base)
     return model
 
@@ -356,12 +404,12 @@ def score_texts(
             for batch in rows_in_pieces(whole):
                 held = shared.value
                 texts = batch.column(text).to_pylist()
-                found = [held.score(t) for t in texts]
+                found = held.scores(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c) for c in others),
                         pa.array(found, pa.float64()),
-                        pa.array([int(s >= threshold) for s in found], pa.int32()),
+                        pa.array((found >= threshold).astype(np.int32)),
                     ],
                     [*others, "score", "predicted"],
                 )

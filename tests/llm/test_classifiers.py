@@ -131,3 +131,34 @@ def test_every_window_counts():
     saved, _, sizes = model.differences(settings.bytes_of(clean + " pathetic worthless moronic" * 3))
     assert len(saved) == -(-3009 // 24) and sizes.sum() > len(clean) - 200
     assert saved[-1] > max(0, np.median(saved))
+
+
+def test_many_rare_terms():
+    # Three hundred terms, each in little more than one toxic document of a hundred.
+    rnd = random.Random(6)
+    terms = ["".join(rnd.choice("bcdfgjkpquvwxyz") for _ in range(8)) for _ in range(300)]
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            words = text_of(rnd, "en", rnd.choice([60, 200])).split()
+            for at in rnd.sample(range(60), 4 if i % 3 == 0 else 0):
+                words[at] = rnd.choice(terms)
+            out.append((" ".join(words), int(i % 3 == 0)))
+        return out
+
+    learned, held = rows(4500), rows(600)
+    settings = compression.Settings(24, True, True)
+    model = compression.fit([t for t, _ in learned], [y for _, y in learned], settings, 1 / 3)
+    right = sum(int(model.score(t) >= 0.7) == y for t, y in held)
+    assert right >= 0.95 * len(held)
+
+
+def test_plain_dictionaries_are_the_first_pair():
+    rows = toxic_documents(240)
+    settings = compression.Settings(24, True, True)
+    texts, labels = [t for _, t, _ in rows], [y for _, _, y in rows]
+    both = compression.fit(texts, labels, settings, 0.33)
+    alone = compression.fit(texts, labels, compression.Settings(24, True), 0.33)
+    assert len(both.pairs) == 2 and both.pairs[:1] == alone.pairs
+    assert len(both.weights) == 2 * len(alone.weights)

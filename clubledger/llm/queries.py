@@ -76,7 +76,7 @@ FROM pairs QUALIFY rank <= 20
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens by source, language and version after three batches: all documents come
-    in, exact copies go, the rest is counted anew with an end token. The last two are
+    in, exact copies go, the rest is revised by one token, an end token. The last two are
     committed twice, as after a failure."""
     docs = table(spark, sf_dir, "documents")
     ledger = TokenLedger(spark, new_table_path(spark, "token-ledger"))

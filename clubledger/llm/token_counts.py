@@ -121,7 +121,10 @@ class TokenLedger:
         revision puts its count in place of what was there, under its own source and
         language; a delete takes that away, and does nothing where nothing is. Rows
         without an id cannot be found again: they only add, and their deletes do
-        nothing. A null count is zero; other events are an error.
+        nothing, unless ``documents`` says how many documents a row stands for. Then
+        that number and ``tokens``, both signed, are added to its group, whatever the
+        event and as often as the row is there. With an id ``documents`` is not looked
+        at. A null count is zero; other events are an error.
         """
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
             raise ValueError(f"not a name for a batch: {batch}")
@@ -129,6 +132,8 @@ class TokenLedger:
             return False
         if "sequence" not in events.columns:
             events = events.withColumn("sequence", F.lit(0))
+        if "documents" not in events.columns:
+            events = events.withColumn("documents", F.lit(None))
         named = F.col("event").isin("insert", "revise", "delete")
         checked = F.when(F.coalesce(named, F.lit(False)), F.col("event")).otherwise(
             F.raise_error(F.concat(F.lit("unknown event: "), F.coalesce("event", F.lit("null"))))
@@ -139,6 +144,7 @@ class TokenLedger:
             F.coalesce(F.col("tokens").cast("bigint"), F.lit(0).cast("bigint")).alias("tokens"),
             checked.alias("event"),
             "sequence",
+            F.col("documents").cast("bigint").alias("documents"),
         )
         # Counting tokens is dear: the events are evaluated once, here.
         staged = f"{self.path}/events/{batch}"
@@ -150,8 +156,11 @@ class TokenLedger:
         )
         last = with_id.withColumn("_n", F.row_number().over(latest)).where("_n = 1")
         one = F.lit(1).cast("bigint")
-        added = last.unionByName(without.withColumn("_n", F.lit(1))).where("event <> 'delete'")
-        deltas = added.select("doc_id", *GROUP, one.alias("documents"), "tokens")
+        added = last.where("event <> 'delete'").withColumn("documents", one)
+        signed = without.where("event <> 'delete' OR documents IS NOT NULL").withColumn(
+            "documents", F.coalesce("documents", one)
+        )
+        deltas = added.drop("_n").unionByName(signed).select("doc_id", *GROUP, "documents", "tokens")
         if self.batches():
             # The old count goes, wherever the document was counted under this tokenizer.
             touched = last.select("doc_id", F.col("tokenizer").alias("_t"))
@@ -192,14 +201,25 @@ def copies_to_delete(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def version_change(ledger: TokenLedger, old: str, new: str, more_tokens: int) -> DataFrame:
-    """Events that move every document to a version that counts some tokens more."""
+    """Events that move every document to a version that counts some tokens more: a
+    revision by that number, no text is read. Documents without an id, which the
+    ledger holds together, are taken from the old version and added to the new one
+    with their number."""
     now = ledger.documents().where(F.col("tokenizer") == old)
-    gone = now.withColumns({"event": F.lit("delete")})
+    no_id = F.col("doc_id").isNull()
+    gone = now.withColumns(
+        {
+            "event": F.lit("delete"),
+            "tokens": F.when(no_id, -F.col("tokens")).otherwise(F.col("tokens")),
+            "documents": F.when(no_id, -F.col("documents")),
+        }
+    )
     counted = now.withColumns(
         {
             "event": F.lit("revise"),
             "tokenizer": F.lit(new),
             "tokens": F.col("tokens") + more_tokens * F.col("documents"),
+            "documents": F.when(no_id, F.col("documents")),
         }
     )
-    return gone.unionByName(counted).drop("documents")
+    return gone.unionByName(counted)

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from clubledger.llm import packing, token_counts, token_files
+from clubledger.llm.queries import QUERIES
 from clubledger.llm.tokens import encoder
 
 DOCS = "doc_id bigint, text string, lang string, source string, start string, ids_crc32 int"
@@ -172,6 +173,25 @@ def test_token_counts_follow_events(spark, tmp_path):
         ledger.commit("../x", load)
 
 
+def test_version_change_keeps_documents_without_an_id(spark, tmp_path):
+    texts = [(1, "one two"), (1, "one two"), (2, "three"), (3, "one two"), (4, None)]
+    texts += [(None, "no id here"), (None, "no id here"), (None, "another"), (None, "one two")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in texts], "doc_id bigint, text string, lang string, source string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    size = plain(BYTE)
+    want = [size(t) for t in ("one two", "three", None, "no id here", "no id here", "another", "one two")]
+    found = QUERIES["op2_token_counts"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [("s", "en", "byte_bpe_50k+end", 7, sum(map(len, want)) + 7)]
+    # Again, and back, on a ledger of several groups.
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
+    rows = [("insert", None, "a", None, "v1", n) for n in (3, 3, 4)] + [("insert", 5, "a", None, "v1", 6), ("insert", None, "b", "en", "v1", 0)]
+    ledger.commit("load", spark.createDataFrame(rows, "event string, doc_id bigint, source string, lang string, tokenizer string, tokens bigint"))
+    for n, (old, new, more) in enumerate([("v1", "v2", 1), ("v2", "v3", 2), ("v3", "v1", -3)]):
+        assert ledger.commit(f"{n}", token_counts.version_change(ledger, old, new, more))
+        more = (1, 3, 0)[n]
+        assert {tuple(r) for r in ledger.totals().collect()} == {("a", None, new, 4, 16 + 4 * more), ("b", "en", new, 1, more)}
+
+
 def test_counts_of_whole_texts(spark):
     docs, expected = spark.createDataFrame(rows(), DOCS), plain(BYTE)
     found = token_counts.count_tokens(docs, BYTE, "v").collect()

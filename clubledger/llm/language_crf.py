@@ -28,9 +28,12 @@ UNDETERMINED = "und"
 #: Rows of the weight table that n-grams are hashed to.
 FEATURES = 1 << 16
 SIZES = (1, 2, 3, 4)
-#: Bounds of the training sample: documents per language, languages, and passages
-#: of so many words from each document.
-PER_LANGUAGE, MOST_LANGUAGES, PASSAGES, PASSAGE_WORDS = 600, 64, 3, 24
+#: Bounds of the training sample: documents per language, and passages of so many
+#: words from each document. All languages are learned; where there are many, each
+#: has its part of MOST_DOCUMENTS, and LEAST_PER_LANGUAGE all the same.
+PER_LANGUAGE, PASSAGES, PASSAGE_WORDS = 600, 3, 24
+MOST_DOCUMENTS, LEAST_PER_LANGUAGE = 9600, 30
+CELLS = 1 << 22  # numbers of a table that is made at once, so that it fits many languages
 SEQUENCE_WORDS = 48
 _LEFT, _RIGHT = 0x02, 0x03  # the word marks; neither byte occurs inside a letter
 
@@ -75,21 +78,25 @@ class Crf:
         if not words:
             return np.zeros((0, n))
         out = []
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
+        step = max(1, 200_000 // max(4, n))
+        for i in range(0, len(words), step):
+            part = words[i : i + step]
             features, starts = ngram_features(part)
             known = np.fromiter((self.lexicon.get(w, n) for w in part), np.int64, len(part))
             sums = np.add.reduceat(self.ngrams[features], starts, axis=0)
             out.append(sums + self.in_lexicon[known])
         return np.concatenate(out)
 
-    def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def marginals(
+        self, scores: np.ndarray, lengths: np.ndarray, best: np.ndarray | None = None
+    ) -> np.ndarray:
         """Sum over its words of each sequence's language probabilities.
 
         ``scores``: the rows of all words, sequence after sequence. All sequences
-        go forward and backward together, the longest ones to their end alone.
+        go forward and backward together, the longest ones to their end alone. To
+        ``best`` the highest probability of each word is added.
         """
-        return sum_marginals(scores, lengths, self.transitions, self.first)
+        return sum_marginals(scores, lengths, self.transitions, self.first, best)
 
 
 def _steps(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +131,11 @@ def forward(
 
 
 def sum_marginals(
-    scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, first: np.ndarray
+    scores: np.ndarray,
+    lengths: np.ndarray,
+    transitions: np.ndarray,
+    first: np.ndarray,
+    best: np.ndarray | None = None,
 ) -> np.ndarray:
     sums = np.zeros((len(lengths), transitions.shape[0]))
     if not len(scores):
@@ -140,7 +151,10 @@ def sum_marginals(
             beta = (emit[at + 1] * beta[:n]) @ back
             beta /= beta.sum(axis=1, keepdims=True)
         both = alpha[at] * beta[:n]
-        sums[order[:n]] += both / both.sum(axis=1, keepdims=True)
+        both /= both.sum(axis=1, keepdims=True)
+        sums[order[:n]] += both
+        if best is not None:
+            best[order[:n]] += both.max(axis=1)
     return sums
 
 
@@ -185,41 +199,56 @@ def fit(passages: list[tuple[str, list[bytes]]], rounds: int = 40, seed: int = 7
     features, starts = ngram_features(vocab)
     sizes = np.diff(np.append(starts, len(features)))
     known = np.array([lexicon.get(w, n_lang) for w in vocab])
-    lengths = np.full(n_seq, length)
-    truth = np.eye(n_lang)[labels]
+    ends = np.append(starts, len(features))
+    # Words and sequences are taken in parts, and what they add is summed up.
+    n_words = max(1, len(vocab) * CELLS // (len(features) * n_lang))
+    n_part = max(1, CELLS // (length * n_lang))
     pairs = np.zeros((n_lang, n_lang))
     np.add.at(pairs, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), 1)
     params = [model.ngrams, model.in_lexicon, model.transitions, model.first]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, rounds + 1):
-        rows = np.add.reduceat(model.ngrams[features], starts, axis=0) + model.in_lexicon[known]
-        scores = rows[words.ravel()]
-        emit, alpha, _ = forward(scores, lengths, model.transitions, model.first)
-        emit = emit.reshape(n_seq, length, n_lang)
-        alpha = alpha.reshape(n_seq, length, n_lang)
+        rows = model.in_lexicon[known]
+        for i in range(0, len(vocab), n_words):
+            j = min(i + n_words, len(vocab))
+            part = model.ngrams[features[ends[i] : ends[j]]]
+            rows[i:j] += np.add.reduceat(part, starts[i:j] - starts[i], axis=0)
         move = np.exp(model.transitions)
-        gamma = np.empty_like(alpha)
-        expected = np.zeros_like(pairs)
-        beta = np.ones((n_seq, n_lang))
-        gamma[:, -1] = alpha[:, -1]
-        for t in range(length - 2, -1, -1):
-            ahead = emit[:, t + 1] * beta
-            joint = alpha[:, t, :, None] * move * ahead[:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            expected += joint.sum(axis=0)
-            gamma[:, t] = joint.sum(axis=2)
-            beta = ahead @ move.T
-            beta /= beta.sum(axis=1, keepdims=True)
-        error = (truth - gamma).reshape(-1, n_lang)
-        by_word = np.stack(
-            [np.bincount(words.ravel(), error[:, k], len(vocab)) for k in range(n_lang)], 1
-        )
-        spread = np.repeat(by_word, sizes, axis=0)
+        expected, begun = np.zeros_like(pairs), np.zeros(n_lang)
+        by_word = np.zeros((len(vocab), n_lang))
+        for i in range(0, n_seq, n_part):
+            own, truth = words[i : i + n_part], labels[i : i + n_part]
+            n = len(own)
+            lengths = np.full(n, length)
+            emit, alpha, _ = forward(rows[own.ravel()], lengths, model.transitions, model.first)
+            emit = emit.reshape(n, length, n_lang)
+            alpha = alpha.reshape(n, length, n_lang)
+            error = np.empty_like(alpha)  # truth less probability
+            beta = np.ones((n, n_lang))
+            error[:, -1] = -alpha[:, -1]
+            for t in range(length - 2, -1, -1):
+                ahead = emit[:, t + 1] * beta
+                back = ahead @ move.T
+                total = (alpha[:, t] * back).sum(axis=1, keepdims=True)
+                expected += move * ((alpha[:, t] / total).T @ ahead)
+                error[:, t] = -alpha[:, t] * back / total
+                beta = back / back.sum(axis=1, keepdims=True)
+            error = error.reshape(-1, n_lang)
+            error[np.arange(len(error)), truth.ravel()] += 1
+            begun += error[::length].sum(axis=0)
+            for k in range(n_lang):
+                by_word[:, k] += np.bincount(own.ravel(), error[:, k], len(vocab))
         grads = [
-            np.stack([np.bincount(features, spread[:, k], FEATURES) for k in range(n_lang)], 1),
+            np.stack(
+                [
+                    np.bincount(features, np.repeat(by_word[:, k], sizes), FEATURES)
+                    for k in range(n_lang)
+                ],
+                1,
+            ),
             np.stack([np.bincount(known, by_word[:, k], n_lang + 1) for k in range(n_lang)], 1),
             pairs - expected,
-            (truth[:, 0] - gamma[:, 0]).sum(axis=0),
+            begun,
         ]
         grads[1][n_lang] = 0
         for p, g, (m, v) in zip(params, grads, moments, strict=True):
@@ -238,31 +267,30 @@ def split_words(text: str | None) -> list[bytes]:
 def training_passages(
     docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int = PER_LANGUAGE
 ) -> list[tuple[str, list[bytes]]]:
-    """Passages of at most about ``per_language`` documents of each language, taken
-    evenly from the whole text. The sample and so its size on the driver is bounded
-    by ``2 * per_language * MOST_LANGUAGES * PASSAGES * PASSAGE_WORDS`` words."""
+    """Passages of at most about ``per_language`` documents of each language, fewer
+    where there are many languages, taken evenly from the whole text. The driver holds
+    at most ``2 * PASSAGES * PASSAGE_WORDS`` words of a document, and in all
+    ``MOST_DOCUMENTS`` of them or ``LEAST_PER_LANGUAGE`` of each language."""
     labelled = docs.where(
         F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull()
     )
     counted = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = {
-        r["lang"]: r["n"]
-        for r in counted.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()
-    }
+    sizes = {r["lang"]: r["n"] for r in counted.orderBy("lang").collect()}
     if not sizes:
         return []
-    million = 1_000_000
+    per_language = min(per_language, max(LEAST_PER_LANGUAGE, MOST_DOCUMENTS // len(sizes)))
+    parts = 10**12  # so fine that a very frequent language keeps to its bound as well
     share = F.element_at(
         F.create_map(
             *[
                 F.lit(x)
                 for name, n in sizes.items()
-                for x in (name, min(million, -(-per_language * million // n)))
+                for x in (name, min(parts, -(-per_language * parts // n)))
             ]
         ),
         F.col(lang),
     )
-    picked = F.pmod(F.xxhash64(F.lit("crf"), F.col(doc_id)), F.lit(million)) < share
+    picked = F.pmod(F.xxhash64(F.lit("crf"), F.col(doc_id)), F.lit(parts)) < share
     sample = labelled.where(picked).select(
         F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")
     )
@@ -309,52 +337,72 @@ def train(
 
 def label_texts(model: Crf | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and score of each text."""
-    names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    return label_surely(model, texts)[:2]
+
+
+def label_surely(
+    model: Crf | None, texts: list[str | None]
+) -> tuple[list[str], list[float], list[float]]:
+    """Language and score of each text, and its certainty: the mean over its words of
+    each word's highest language probability, whichever languages these are."""
+    names, scores, sure = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     asked = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
     words = [split_words(texts[i]) for i in asked]
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     flat = [w for own in words for w in own]
     if not flat:
-        return names, scores
+        return names, scores, sure
     vocabulary = dict.fromkeys(flat)
     distinct = list(vocabulary)
     vocabulary = dict(zip(distinct, range(len(distinct)), strict=True))
     rows = model.word_scores(distinct)[
         np.fromiter(map(vocabulary.__getitem__, flat), np.int64, len(flat))
     ]
-    means = model.marginals(rows, lengths) / np.maximum(lengths, 1)[:, None]
-    for i, own in zip(asked, means, strict=True):
+    highest = np.zeros(len(lengths))
+    means = model.marginals(rows, lengths, highest) / np.maximum(lengths, 1)[:, None]
+    highest /= np.maximum(lengths, 1)
+    for i, own, certainty in zip(asked, means, highest, strict=True):
         best = int(own.argmax())
         names[i], scores[i] = model.languages[best], float(min(1.0, own[best]))
-    return names, scores
+        sure[i] = float(min(1.0, certainty))
+    return names, scores, sure
 
 
 def predict_language(
-    docs: DataFrame, model: Crf | None, text: str = "text", keep_text: bool = True
+    docs: DataFrame,
+    model: Crf | None,
+    text: str = "text",
+    keep_text: bool = True,
+    certainty: bool = False,
 ) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (columns of those names are replaced);
-    without ``keep_text`` the text itself is left out.
+    """``docs`` with ``lang_pred`` and ``score`` and, if asked for, ``certainty``
+    (columns of those names are replaced); without ``keep_text`` the text itself is
+    left out.
 
     Whole texts are read. A text that is null, empty or without a letter is ``und``
     with score 0, as is every text if nothing could be learned; a tie goes to the
     language that sorts first. Repeated rows stay as they are.
     """
-    left_out = {"lang_pred", "score"} | (set() if keep_text else {text})
+    added = ["lang_pred", "score", *(["certainty"] if certainty else [])]
+    left_out = {*added} | (set() if keep_text else {text})
     others = [c for c in docs.columns if c not in left_out]
     schema = docs.select(*others).schema.add("lang_pred", "string").add("score", "double")
+    if certainty:
+        schema = schema.add("certainty", "double")
+    most = (16 << 20) // max(4, len(model.languages) if model else 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in rows_in_pieces(whole, 4 << 20):
-                names, scores = label_texts(shared.value, batch.column(text).to_pylist())
+            for batch in rows_in_pieces(whole, most):
+                names, *numbers = label_surely(shared.value, batch.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c) for c in others),
                         pa.array(names, pa.string()),
-                        pa.array(scores, pa.float64()),
+                        *(pa.array(x, pa.float64()) for x in numbers[: len(added) - 1]),
                     ],
-                    [*others, "lang_pred", "score"],
+                    [*others, *added],
                 )
 
     return docs.select(*dict.fromkeys([*others, text])).mapInArrow(label, schema)

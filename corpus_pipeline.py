@@ -17,7 +17,8 @@ from clubledger.llm.quality_rules import apply_policy, rule_ledger
 from clubledger.llm.simhash_bk import one_per_group
 from clubledger.session import write_through
 
-#: A language has to be the likeliest one with at least this mean probability.
+#: The likeliest language of each word has to have at least this mean probability;
+#: the words of a document may be of several languages.
 LEAST_LANGUAGE_SCORE = 0.4
 POLICY = "prose-1"
 SHINGLE, RADIUS = 4, 4
@@ -33,9 +34,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_crf.train(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    labelled = language_crf.predict_language(docs.select(*_COLUMNS), model)
+    labelled = language_crf.predict_language(docs.select(*_COLUMNS), model, certainty=True)
     sure = (F.col("lang_pred") != language_crf.UNDETERMINED) & (
-        F.col("score") >= LEAST_LANGUAGE_SCORE
+        F.col("certainty") >= LEAST_LANGUAGE_SCORE
     )
     return labelled.where(sure).select(*_COLUMNS)
 

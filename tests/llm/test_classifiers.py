@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from clubledger.llm import compression, language_crf
 
 SYLLABLES = {"en": "the er on an re th ing", "de": "en er ch ung ß ü ie", "fr": "eau é ou que ment è oi"}
@@ -74,6 +75,29 @@ def test_code_switched_words():
     assert language_crf.label_texts(model, [mixed]) == language_crf.label_texts(again, [mixed])
 
 
+def test_every_language_is_learned(spark):
+    rnd = random.Random(9)
+    own = {f"l{k:02}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(6)] for k in range(70)}
+    text = lambda lang: " ".join("".join(rnd.choices(own[lang], k=2)) for _ in range(30))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(list(own) * 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_crf.train(docs)
+    assert model.languages == sorted(own)
+    asked = [lang for lang in own for _ in range(2)]
+    names, _ = language_crf.label_texts(model, [text(lang) for lang in asked])
+    assert sum(a == b for a, b in zip(names, asked, strict=True)) >= 0.97 * len(asked)
+
+
+def test_pipeline_keeps_texts_of_several_languages(spark):
+    rnd = random.Random(10)
+    rows = [(i, t, lang, "s", len(t)) for i, t, lang in documents()]
+    mixed = " ".join(text_of(rnd, lang, 40) for lang in ("en", "de", "fr"))
+    rows += [(900, mixed, None, "s", len(mixed)), (901, "1 2 ---", None, "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert 900 in kept and 901 not in kept
+
+
 def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([(1, "abc", None)], "doc_id bigint, text string, lang string")
     assert language_crf.train(none) is None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clubledger.llm import compression, language_crf
-from clubledger.llm.common import importable_by_workers
+from clubledger.llm.common import importable_by_workers, word_list
 from clubledger.llm.mixing import mixing_decisions
 from clubledger.llm.packing import Limits, pack_documents
+from clubledger.llm.periodic_runs import RUN, periodic_runs
 from clubledger.llm.quality_rules import MEASURES, apply_policy, fails, rule_ledger
 from clubledger.llm.simhash_bk import simhash_groups
 from clubledger.llm.token_counts import (
@@ -22,6 +24,8 @@ from clubledger.llm.token_counts import (
 )
 from clubledger.llm.token_files import read_token_files, write_token_files
 from clubledger.llm.topk_pivots import top_k
+from clubledger.llm.vector_codes import encode_vectors
+from clubledger.llm.warc import read_archives, write_archives
 from clubledger.session import new_table_path
 
 TOXICITY = compression.Settings(window_words=24, fold_case=True, contrast=True)
@@ -203,6 +207,139 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score_texts(rows, model, threshold=0.7, keep_text=False)
 
 
+# -- 11 vector code compression ---------------------------------------------------------
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors: 16 parts, 64 entries each, two rounds."""
+    coded, codebook = encode_vectors(table(spark, sf_dir, "embeddings"))
+    numbers = ",".join(map(str, codebook.ravel().tolist()))
+    digest = hashlib.sha256(numbers.encode()).hexdigest()
+    return coded.select(
+        "vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256")
+    )
+
+
+_ASSIGN = """SELECT r, j, min(CAST(pp - 2 * list_inner_product(p, c) + cc AS HUGEINT) * 64 + e) AS best
+    FROM parts JOIN {book} USING (j) GROUP BY r, j"""
+_MEANS = """SELECT j, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY k) AS c
+    FROM (SELECT j, e, k, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n
+          FROM (SELECT j, CAST(best % 64 AS INTEGER) AS e, unnest(range(1, len(p) + 1)) AS k,
+                       CAST(unnest(p) AS BIGINT) AS x
+                FROM {assigned} JOIN parts USING (r, j)) GROUP BY j, e, k)
+    GROUP BY j, e"""
+_BOOK = """SELECT j, e, c, list_inner_product(c, c) AS cc
+    FROM (SELECT o.j, o.e, coalesce(n.c, o.c) AS c FROM {old} AS o LEFT JOIN ({means}) AS n USING (j, e))"""
+SQL["op11_vector_codes"] = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT *, list_inner_product(p, p) AS pp
+    FROM (SELECT r, j, v[j * len(v) // 16 + 1:(j + 1) * len(v) // 16] AS p
+          FROM (SELECT r, v, unnest(range(16)) AS j FROM kept))
+), book0 AS MATERIALIZED (
+    SELECT j, CAST(r - 1 AS INTEGER) AS e, p AS c, pp AS cc FROM parts WHERE r <= 64
+), a0 AS MATERIALIZED ({_ASSIGN.format(book="book0")}
+), book1 AS MATERIALIZED ({_BOOK.format(old="book0", means=_MEANS.format(assigned="a0"))}
+), a1 AS MATERIALIZED ({_ASSIGN.format(book="book1")}
+), book2 AS MATERIALIZED ({_BOOK.format(old="book1", means=_MEANS.format(assigned="a1"))}
+), a2 AS MATERIALIZED ({_ASSIGN.format(book="book2")}
+), coded AS (
+    SELECT r, string_agg(printf('%02x', CAST(best % 64 AS INTEGER)), '' ORDER BY j) AS code,
+           CAST(sum(best // 64) AS BIGINT) AS error
+    FROM a2 GROUP BY r
+), digest AS (
+    SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY j, e, k)) AS h
+    FROM (SELECT j, e, unnest(range(1, len(c) + 1)) AS k, unnest(c) AS x FROM book2)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT h FROM digest) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
+# -- 12 periodic run detection --------------------------------------------------------
+def with_planted_run(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by a hash of its id, repeats one of its passages
+    to the end; where, and how long the passage is, follow from the hash."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    # Columns of their own, so that they are not computed again for every word.
+    marked = docs.select(
+        "doc_id",
+        "text",
+        F.floor(h / 10).alias("g"),
+        F.when(h % 10 == 0, word_list(F.col("text"))).alias("words"),
+    ).withColumn("n", F.size("words"))
+    marked = marked.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    marked = marked.withColumn("p", period)
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    place = F.transform(
+        places, lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    )
+    repeated = F.array_join(F.transform(place, lambda i: F.get("words", i.cast("int"))), " ")
+    text = F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text"))
+    return marked.select("doc_id", text.alias("text"))
+
+
+def run_columns(found: DataFrame) -> DataFrame:
+    """The run with the greatest exponent, and digests of all runs and kept words."""
+    line = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+
+    def greater(best: Column, r: Column) -> Column:
+        more = r["length"] * best["period"] > best["length"] * r["period"]
+        return F.when(best.isNull() | more, r).otherwise(best)
+
+    best = F.aggregate("runs", F.lit(None).cast(RUN), greater)
+    return found.withColumn("best", best).select(
+        "doc_id",
+        "n_words",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, with a run planted in every tenth."""
+    return run_columns(periodic_runs(with_planted_run(table(spark, sf_dir, "documents"))))
+
+
+# -- 13 WARC --------------------------------------------------------------------------
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    path = new_table_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+SQL["op13_warc"] = """
+WITH p AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest, url
+    FROM pages
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url) AS k,
+           min(page_id) OVER (PARTITION BY payload_digest) AS first
+    FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND k > 1 THEN first END AS refers_to
+FROM ranked
+"""
+
+
 # -- the pipeline ---------------------------------------------------------------------
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:

@@ -40,7 +40,7 @@ def ids_of(name, text, end):
 
 def test_all_are_registered():
     names = contract.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q != "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES if q != "pipeline"}
     assert set(QUERIES) <= set(names) and set(SQL) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "quality_rules", "simhash_near_dedup", "mixing", "packing",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,7 +21,47 @@ def word_list(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def rows_in_pieces(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def free_names(rows: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that ``rows`` does not have yet."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+Batches = Iterable[pa.RecordBatch]
+
+
+def _give_back() -> None:
+    """Return what the allocators keep for later to the machine, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(
+    function: Callable[[Batches], Iterator[pa.RecordBatch]],
+) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that gives free memory back after a partition.
+
+    Python workers live on, also through stages that need none of it."""
+
+    @functools.wraps(function)
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def rows_in_pieces(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """An Arrow batch in slices of about ``most_bytes``, one row at the least.
 
     Spark sizes batches by rows; very long texts would fill a worker otherwise.

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clubledger.llm.common import rows_in_pieces
+from clubledger.llm.common import rows_in_pieces, tidy
 
 #: Bounds of the training sample: documents per label, and bytes of each, taken in
 #: evenly spaced passages from its whole text.
@@ -414,4 +414,4 @@ def score_texts(
                     [*others, "score", "predicted"],
                 )
 
-    return docs.select(*dict.fromkeys([*others, text])).mapInArrow(score, schema)
+    return docs.select(*dict.fromkeys([*others, text])).mapInArrow(tidy(score), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clubledger.llm.common import rows_in_pieces
+from clubledger.llm.common import rows_in_pieces, tidy
 
 UNDETERMINED = "und"
 #: Rows of the weight table that n-grams are hashed to.
@@ -389,7 +389,7 @@ def predict_language(
     schema = docs.select(*others).schema.add("lang_pred", "string").add("score", "double")
     if certainty:
         schema = schema.add("certainty", "double")
-    most = (16 << 20) // max(4, len(model.languages) if model else 0)
+    most = (8 << 20) // max(4, len(model.languages) if model else 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,4 +405,4 @@ def predict_language(
                     [*others, *added],
                 )
 
-    return docs.select(*dict.fromkeys([*others, text])).mapInArrow(label, schema)
+    return docs.select(*dict.fromkeys([*others, text])).mapInArrow(tidy(label), schema)

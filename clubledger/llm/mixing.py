@@ -9,8 +9,8 @@ at most one document per source is left and goes to the nearer side.
 
 The pairs form a reduction tree: blocks of documents of one source, spread by a hash,
 leave one open document each, these form the next blocks, and so on. Every block is
-bounded, so a source with a third of all documents is simply more blocks. Only
-DataFrame functions are used. The randomness is a hash of seed and document, so a
+bounded, and blocks, not sources, are dealt out to the tasks, so a source with a third
+of all documents is simply more blocks. Only DataFrame functions are used. The randomness is a hash of seed and document, so a
 rerun takes the same documents.
 """
 
@@ -21,7 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clubledger.llm.common import word_list
+from clubledger.llm.common import free_names, word_list
+from clubledger.operators.skew import list_join
 from clubledger.session import write_through
 
 #: Documents of a block, on average.
@@ -117,15 +118,22 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(F.slice(items, 2, F.size(items)), start, step)
 
 
+def _counted(units: DataFrame) -> DataFrame:
+    return units.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _round_fractions(units: DataFrame, seed: int, block: int) -> DataFrame:
     """``(source_key, doc_id, size, rows, share)`` with every share rounded to 0 or 1."""
     decided, level = [], 0
     item = F.struct("size", "doc_id", "rows", "share")  # larger documents first
     current = units
-    counts = units.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
+    counts = write_through(_counted(units), "counts")
     while True:
         blocks = F.ceil(F.col("n") / block)
-        placed = current.join(counts.select("source_key", blocks.alias("blocks")), "source_key")
+        # Joined without dealing by source, or the blocks of a large one would follow
+        # it into one task.
+        counted = counts.select("source_key", blocks.alias("blocks"))
+        placed = list_join(current, counted, "source_key", ["doc_id", "size"], "inner")
         place = F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "size", "rows"), F.col("blocks"))
         gathered = (
             placed.groupBy("source_key", "blocks", place.alias("block"))
@@ -159,7 +167,7 @@ def _round_fractions(units: DataFrame, seed: int, block: int) -> DataFrame:
         ).otherwise(F.col("f.decided"))
         decided.append(folded.select("source_key", F.inline(settled)))
         current = folded.where(~F.col("last")).select("source_key", "f.open.*")
-        counts = current.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
+        counts = write_through(_counted(current), "counts")
         level += 1
         if current.isEmpty():
             return reduce(DataFrame.unionByName, decided)
@@ -194,7 +202,7 @@ def mixing_decisions(
     targets = write_through(source_targets(sizes, weights, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
     wanted = (
-        units.join(targets, "source_key")
+        list_join(units, targets, "source_key", ["doc_id", "size"], "inner")
         .withColumn("rate", F.least(F.coalesce(rate, F.lit(0.0)), F.lit(float(most))))
         .withColumn("whole", F.floor("rate"))
         .withColumn("extra", (F.col("rate") - F.col("whole")) * F.col("rows"))
@@ -232,26 +240,27 @@ def mixed_documents(
     **options,
 ) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each one as often as decided."""
-    taken = mixing_decisions(docs, doc_id, text, source, **options).where("copies > 0")
-    taken = taken.select(
-        F.col(doc_id).alias("_i"),
-        F.col(source).alias("_s"),
-        F.col("size").alias("_n"),
-        F.col("row").alias("_r"),
-        F.col("copies").alias("_copies"),
-    )
-    own = docs.withColumns(
-        {"_size": F.size(word_list(F.col(text))).cast("bigint"), "_order": F.xxhash64(text)}
-    )
-    alike = Window.partitionBy(doc_id, source, "_size").orderBy("_order")
-    own = own.withColumn("_row", F.row_number().over(alike).cast("bigint"))
-    same = (
-        own[doc_id].eqNullSafe(taken["_i"])
-        & own[source].eqNullSafe(taken["_s"])
-        & (own["_size"] == taken["_n"])
-        & (own["_row"] == taken["_r"])
+    decided = mixing_decisions(docs, doc_id, text, source, **options)
+    # Names that the documents do not have; their columns stay as they are. One column
+    # as the key, so that the rows with their texts are dealt out once for the join and
+    # the numbering; a struct, because structs of nulls are equal.
+    key, copies, rows, row, place = free_names(docs, "unit", "copies", "rows", "row", "place")
+
+    def unit(size: Column) -> Column:
+        return F.struct(F.col(doc_id).alias("i"), F.col(source).alias("s"), size.alias("n"))
+
+    taken = decided.groupBy(unit(F.col("size")).alias(key)).agg(
+        F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)
     )
-    repeated = own.join(taken, same).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    size = F.size(word_list(F.col(text))).cast("bigint")
+    # Of exactly the other side's type, or the join would cast it and deal out a cast.
+    own = docs.withColumn(key, unit(size).cast(taken.schema[key].dataType))
+    alike = Window.partitionBy(key).orderBy(F.xxhash64(text))
+    numbered = own.join(taken, key).withColumn(row, F.row_number().over(alike))
+    # As ``mixing_decisions`` deals them out: evenly, the first rows one more.
+    even = F.floor(F.col(copies) / F.col(rows))
+    times = even + (F.col(row) <= F.col(copies) - even * F.col(rows)).cast("bigint")
+    repeated = numbered.where(times > 0).withColumn(
+        place, F.explode(F.sequence(F.lit(1).cast("bigint"), times))
     )
     return repeated.select(*[F.col(c) for c in docs.columns])

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clubledger.llm.common import rows_in_pieces
+from clubledger.llm.common import rows_in_pieces, tidy
 from clubledger.llm.tokens import crc32_of_ids, encoder
 
 #: Examples that compete for a sequence at one time.
@@ -228,7 +228,7 @@ def pack_documents(
         if packer.open:
             yield rows(packer.finish(), held)
 
-    return narrow.mapInArrow(pack, schema)
+    return narrow.mapInArrow(tidy(pack), schema)
 
 
 def pack_examples(
@@ -280,4 +280,4 @@ def pack_examples(
         if packer.open:
             yield rows(packer.finish(), held, kind)
 
-    return narrow.mapInArrow(pack, schema)
+    return narrow.mapInArrow(tidy(pack), schema)

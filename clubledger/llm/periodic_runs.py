@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clubledger.llm.common import rows_in_pieces
+from clubledger.llm.common import rows_in_pieces, tidy
 
 #: A run has at least this many words and this many times its period.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -171,7 +171,7 @@ def periodic_runs(
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([(n, pa.int64()) for n in ("start", "length", "period")])
         for whole in batches:
-            for batch in rows_in_pieces(whole, 4 << 20):
+            for batch in rows_in_pieces(whole):
                 start = 0
                 for group in _groups(batch.column("text").cast(pa.binary())):
                     runs, rest = _search(group, least_words, least_periods)
@@ -191,4 +191,4 @@ def periodic_runs(
                     start += len(group)
 
     schema = f"doc_id {id_type}, n_words bigint, runs array<{RUN}>, collapsed string"
-    return narrow.mapInArrow(search, schema)
+    return narrow.mapInArrow(tidy(search), schema)

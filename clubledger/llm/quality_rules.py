@@ -62,11 +62,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Windows are compared by a 64-bit hash, within one document only.
     """
-    kept = [c for c in docs.columns if c not in MEASURES]
+    # The columns go along in one, or theirs might have the name of a step's.
+    own = F.struct(*[c for c in docs.columns if c not in MEASURES])
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda line: line.rlike(WORD))
     rows = docs.select(
-        *kept, word_list(F.col(text)).alias("_words"), lines.alias("_lines")
+        own.alias("own"), word_list(F.col(text)).alias("_words"), lines.alias("_lines")
     ).withColumn("_glued", F.array_join("_words", ""))
     last = F.size("_words") - F.lit(WINDOW - 1)
     places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
@@ -98,7 +99,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     # As a generated row, for a filter on a measurement would otherwise be moved below
     # the steps above, with all of them repeated inside it.
-    return rows.select(*kept, F.inline(F.array(measures)))
+    return rows.select("own.*", F.inline(F.array(measures)))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")

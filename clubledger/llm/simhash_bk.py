@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clubledger.llm.common import rows_in_pieces, sorted_groups
+from clubledger.llm.common import free_names, rows_in_pieces, sorted_groups, tidy
 from clubledger.operators.components import connected_components
 from clubledger.session import write_through
 
@@ -77,7 +77,7 @@ def add_fingerprints(docs: DataFrame, text: str, shingle: int, name: str) -> Dat
                     [*(batch.column(c) for c in others), values], [*others, name]
                 )
 
-    return docs.select(*others, text).mapInArrow(score, schema)
+    return docs.select(*others, text).mapInArrow(tidy(score), schema)
 
 
 class BkTree:
@@ -216,7 +216,7 @@ def fingerprint_links(
     return (
         placed.repartition(*shard)
         .sortWithinPartitions(*shard)
-        .mapInArrow(search, "a bigint, b bigint")
+        .mapInArrow(tidy(search), "a bigint, b bigint")
         .distinct()
     )
 
@@ -243,7 +243,11 @@ def _members(
     members = classes.join(
         components.select(F.col("node").alias("value"), "component"), "value", "left"
     ).withColumn("component", F.coalesce("component", "value"))
-    lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
+    # Tables of their own, so that a large component can be dealt out to several tasks.
+    members = write_through(members, "members")
+    lowest = write_through(
+        members.groupBy("component").agg(F.min("low").alias("component_id")), "lowest"
+    )
     named = members.join(lowest, "component").select("value", "component", "component_id")
     return marked.join(named, "value")
 
@@ -288,10 +292,13 @@ def one_per_group(
     """
     rows = _members(docs, doc_id, text, shingle, radius, shard_rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    # One column as the key, so that the rows are dealt out once for both steps; a
+    # struct, because structs of nulls are equal.
+    (key,) = free_names(docs, "winner")
     winners = rows.groupBy("component").agg(first.alias("w")).select(
-        F.col("w.doc_id").alias("_doc_id"), F.col("w.text_key").alias("_key")
+        F.struct(F.col("w.doc_id").alias("i"), F.col("w.text_key").alias("h")).alias(key)
     )
-    own = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = own[doc_id].eqNullSafe(winners["_doc_id"]) & (own["_text_key"] == winners["_key"])
-    kept = own.join(winners.distinct(), same, "left_semi")
-    return kept.dropDuplicates([doc_id, "_text_key"]).select(*[F.col(c) for c in docs.columns])
+    text_key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    own = docs.withColumn(key, F.struct(F.col(doc_id).alias("i"), text_key.alias("h")))
+    kept = own.join(winners.distinct(), key, "left_semi")
+    return kept.dropDuplicates([key]).select(*[F.col(c) for c in docs.columns])

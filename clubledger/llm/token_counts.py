@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clubledger.llm.common import importable_by_workers, rows_in_pieces
+from clubledger.llm.common import importable_by_workers, rows_in_pieces, tidy
 from clubledger.llm.tokens import encoder
+from clubledger.session import write_through
 
 GROUP = ["source", "lang", "tokenizer"]
 DELTA = "doc_id {0}, source string, lang string, tokenizer string, documents bigint, tokens bigint"
@@ -59,7 +60,7 @@ def count_tokens(
                     names,
                 )
 
-    return narrow.mapInArrow(count, schema)
+    return narrow.mapInArrow(tidy(count), schema)
 
 
 class TokenLedger:
@@ -189,7 +190,10 @@ def copies_to_delete(docs: DataFrame, tokenizer: str) -> DataFrame:
         "doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("digest")
     )
     first = marked.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    copies = marked.join(first.where("n > 1"), "digest").where("doc_id <> first")
+    # A table of its own: with the grouping in the join's stage, Spark could not deal
+    # the copies of one text out to several tasks.
+    first = write_through(first.where("n > 1"), "first-copies")
+    copies = marked.join(first, "digest").where("doc_id <> first")
     return copies.select(
         F.lit("delete").alias("event"),
         "doc_id",

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clubledger.llm.common import hashed_share, importable_by_workers, rows_in_pieces
+from clubledger.llm.common import hashed_share, importable_by_workers, rows_in_pieces, tidy
 from clubledger.llm.tokens import crc32_of_ids, encoder
 
 BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
@@ -156,7 +156,7 @@ def write_token_files(
         if ids:
             yield row()
 
-    blocks = ordered.mapInArrow(encode, schema)
+    blocks = ordered.mapInArrow(tidy(encode), schema)
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     held = spark.createDataFrame([(sha256, content)], "sha256 string, content binary")
     held.coalesce(1).write.parquet(f"{path}/dictionary")
@@ -217,7 +217,7 @@ def _frames(blocks: DataFrame, dictionary: Dictionary, ids_too: bool) -> DataFra
                     columns.append(pa.array([x.astype(np.int32) for x in found], kind))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return blocks.drop("low", "high", "n_docs", "n_ids").mapInArrow(decode, schema)
+    return blocks.drop("low", "high", "n_docs", "n_ids").mapInArrow(tidy(decode), schema)
 
 
 def read_token_files(spark: SparkSession, path: str, ids_too: bool = False) -> DataFrame:

@@ -6,7 +6,9 @@ reach over ASCII blanks, so the ids of a text are those of its stretches, one af
 the other. Each stretch is tokenized once and remembered, up to a number of
 stretches. A stretch of plain Latin letters is one word to both kinds, so the
 library's model gets it directly, in the byte alphabet it expects; all others go
-through the whole library. A text with blanks outside ASCII is a stretch by itself.
+through the whole library. A text with blanks outside ASCII, or with what may be the
+string of an added token such as an end mark, is a stretch by itself and is not
+remembered.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-#: Stretches remembered by one worker; twice as many while the older half ages.
-REMEMBERED = 300_000
+#: Stretches remembered by one worker, and characters of them; twice as many while the
+#: older half ages.
+REMEMBERED, REMEMBERED_CHARACTERS = 80_000, 4 << 20
 #: Stretches given to the library at once.
 AT_ONCE = 20_000
 
@@ -57,7 +60,12 @@ class Encoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # What marks a text that may hold an added token: its string or, where the
+        # normalizer may make it of other letters, the longest stretch without any.
+        self.marks = {
+            max(re.split(r"[^\W\d_]+", t.content), key=len) if t.normalized else t.content
+            for t in self.library.get_added_tokens_decoder().values()
+        }
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         # Byte-level without a normalizer keeps blanks; the other kind drops them.
         keeps = self.library.normalizer is None and isinstance(
@@ -69,6 +77,7 @@ class Encoder:
         self.kind = "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.characters = 0
 
     def _encode_plain(self, word: str) -> bytes:
         """A word of plain letters, perhaps after a space: the model's ids of it."""
@@ -100,18 +109,19 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for a missing or empty one."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
+        if len(self.known) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
+            self.older, self.known, self.characters = self.known, {}, 0
         out, cut = [b""] * len(texts), {}
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _ODD_BLANKS.search(text):
+            if any(m in text for m in self.marks) or _ODD_BLANKS.search(text):
                 out[i] = self._encode([text])[0]
             else:
                 cut[i] = self.stretches(text)
         if new := set().union(*cut.values()).difference(self.known):
             self._learn(new)
+            self.characters += sum(map(len, new))
         for i, own in cut.items():
             out[i] = b"".join(map(self.known.__getitem__, own))
         return out

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clubledger.llm.common import importable_by_workers
+from clubledger.llm.common import importable_by_workers, tidy
 from clubledger.llm.topk_pivots import usable
 from clubledger.operators.skew import list_join
 from clubledger.session import write_through
@@ -261,7 +261,7 @@ def build_index(
             yield chunk(held)
 
     narrow = vectors.select("vec_id", "label", "vector")
-    return write_through(narrow.mapInArrow(chunks, schema), "code-blocks")
+    return write_through(narrow.mapInArrow(tidy(chunks), schema), "code-blocks")
 
 
 def next_codebook(index: DataFrame, codebook: np.ndarray) -> np.ndarray:
@@ -288,7 +288,7 @@ def next_codebook(index: DataFrame, codebook: np.ndarray) -> np.ndarray:
         )
 
     needed = index.drop("ids", "labels")
-    partial = needed.mapInArrow(totals, "part int, entry int, n bigint, sums array<bigint>")
+    partial = needed.mapInArrow(tidy(totals), "part int, entry int, n bigint, sums array<bigint>")
     added = partial.groupBy("part", "entry").agg(
         F.sum("n").alias("n"), *[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(each)]
     )
@@ -320,7 +320,7 @@ def _coded(index: DataFrame, codebook: np.ndarray) -> DataFrame:
                 )
 
     schema = f"vec_id {types['ids']}, label {types['labels']}, code string, error bigint"
-    return index.mapInArrow(assign, schema)
+    return index.mapInArrow(tidy(assign), schema)
 
 
 def _with_label_error(coded: DataFrame, spread: str) -> DataFrame:

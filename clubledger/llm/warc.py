@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubledger.llm.common import hashed_share, importable_by_workers, rows_in_pieces
+from clubledger.llm.common import hashed_share, importable_by_workers, rows_in_pieces, tidy
 from clubledger.operators.skew import heavy_rows
 from clubledger.session import write_counted
 
@@ -384,7 +384,7 @@ def write_archives(
             yield file()
 
     # The bytes go as they are into a text column; each row ends in an empty frame.
-    files = rows.mapInArrow(archive, "archive binary").select(F.col("archive").cast("string"))
+    files = rows.mapInArrow(tidy(archive), "archive binary").select(F.col("archive").cast("string"))
     files.write.option("lineSep", _EMPTY_FRAME).option("maxRecordsPerFile", 1).option(
         "compression", "none"
     ).text(path)
@@ -430,7 +430,7 @@ def read_archives(spark: SparkSession, path: str, payload_too: bool = False) ->
     kinds = {pa.int64(): "bigint", pa.string(): "string", pa.large_binary(): "binary"}
     schema = ", ".join(f"{n} {kinds[t]}" for n, t in names.items())
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(read, schema)
+    return files.mapInArrow(tidy(read), schema)
 
 
 def _page_row(data: bytes) -> dict | None:

@@ -34,7 +34,6 @@ def documents(sql):
 
 def ids_of(name, text, end):
     library = Tokenizer.from_file(str(public_tokenizers.path(name)))
-    library.encode_special_tokens = True
     return np.array([*library.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 

@@ -54,6 +54,14 @@ def test_measurements_and_bits(spark):
         assert bool(found[row]["failures"] & 3) == failed
 
 
+def test_columns_of_the_documents_stay(spark):
+    names = ("_words", "_lines", "_glued", "_at", "_hashes", "_sorted", "_starts", "own")
+    docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id bigint, text string")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    found = apply_policy(rule_ledger(docs), "prose-1").collect()
+    assert [{c: r[c] for c in names} for r in found] == [{c: f"own {c}" for c in names}] * 2
+
+
 def test_a_filter_on_the_verdict_keeps_the_steps_apart(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50)))], "doc_id bigint, text string")
     kept = apply_policy(rule_ledger(docs), "prose-1").where("kept").select("doc_id")
@@ -129,16 +137,19 @@ def test_mix_meets_its_targets(spark, block):
 
 
 def test_expected_copies(spark):
-    # Over many seeds every document is taken about as often as its source asks for.
-    rows = [(i, " ".join(["w"] * (i % 7 + 1)), "en", "ab"[i % 2], 1) for i in range(40)]
+    # Over many seeds documents of every size are taken as often as their source asks for.
+    rows = [(i, " ".join(["w"] * (i // 2 % 7 + 1)), "en", "ab"[i % 2], 1) for i in range(280)]
     docs = spark.createDataFrame(rows, DOCS).cache()
-    total, seeds = Counter(), range(8)
+    total, rates, seeds = Counter(), {}, range(8)
     for seed in seeds:
         for r in mixing.mixing_decisions(docs, seed=seed, block=8).collect():
-            total[r.source] += r.copies
-            rate = r.target / r.source_size
-            assert int(rate) <= r.copies <= int(rate) + 1
-    assert total["a"] and total["b"]
+            total[r.source, r["size"]] += r.copies
+            rates[r.source] = r.target / r.source_size
+            assert int(rates[r.source]) <= r.copies <= int(rates[r.source]) + 1
+    # 20 documents of a size and source, 8 times: the standard error is below 0.04.
+    for (source, _), copies in total.items():
+        assert copies / 160 == pytest.approx(rates[source], abs=0.16)
+    assert len(total) == 14
 
 
 def test_mixed_documents_are_the_decided_copies(spark):
@@ -150,6 +161,13 @@ def test_mixed_documents_are_the_decided_copies(spark):
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
     assert Counter((r.doc_id, r.source) for r in mixed.collect()) == +taken
+    names = ("_size", "_row", "unit", "copies", "rows", "row", "place", "size", "i", "s", "n")
+    more = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    again = mixing.mixed_documents(more)
+    assert again.columns == more.columns
+    found = again.collect()
+    assert Counter((r.doc_id, r.source) for r in found) == +taken
+    assert {tuple(r[c] for c in names) for r in found} == {tuple(f"own {c}" for c in names)}
 
 
 def test_empty_tables(spark):

@@ -63,6 +63,12 @@ def test_groups(spark):
     assert sorted((str(a), b, str(c)) for a, b, c in found) == want
     kept = simhash_bk.one_per_group(docs)
     assert kept.columns == docs.columns
+    more = docs.withColumns({c: F.lit(f"own {c}") for c in ("_text_key", "winner", "w", "i", "h")})
+    again = simhash_bk.one_per_group(more)
+    assert again.columns == more.columns
+    assert {tuple(r[c] for c in more.columns[-5:]) for r in again.collect()} == {
+        ("own _text_key", "own winner", "own w", "own i", "own h")
+    }
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(roots))
     assert set(ids) == {low.get(r) for r in roots}

@@ -21,7 +21,6 @@ BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 def plain(name):
     library = Tokenizer.from_file(str(public_tokenizers.path(name)))
-    library.encode_special_tokens = True
     return lambda text: library.encode(text or "", add_special_tokens=False).ids
 
 
@@ -42,6 +41,20 @@ def test_ids_are_those_of_the_library(name):
     same()
 
 
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_added_tokens_are_found_anywhere(name):
+    coder, expected = encoder(name), plain(name)
+    words = [f"Wort{i}" for i in range(400)]
+    for mark in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|"):
+        for at in (0, 1, 200, 399, 400):
+            for glue in (" ", ""):
+                text = " ".join(words[:at]) + glue + mark + glue + " ".join(words[at:])
+                assert coder.ids(coder.encode([text])[0]).tolist() == expected(text)
+    ids = expected("the end <|endoftext|> of it")
+    assert len(ids) == (6 if name == BYTE else 5)
+    assert coder.ids(coder.encode(["the end <|endoftext|> of it"])[0]).tolist() == ids
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr("clubledger.llm.tokens.REMEMBERED", 5)
     coder, expected = encoder(BYTE), plain(BYTE)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clubledger.llm.common import free_names, word_list
-from clubledger.operators.skew import list_join
+from clubledger.operators.skew import skew_join
 from clubledger.session import write_through
 
 #: Documents of a block, on average.
@@ -133,7 +133,7 @@ def _round_fractions(units: DataFrame, seed: int, block: int) -> DataFrame:
         # Joined without dealing by source, or the blocks of a large one would follow
         # it into one task.
         counted = counts.select("source_key", blocks.alias("blocks"))
-        placed = list_join(current, counted, "source_key", ["doc_id", "size"], "inner")
+        placed = skew_join(current, counted, "source_key", "inner")
         place = F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "size", "rows"), F.col("blocks"))
         gathered = (
             placed.groupBy("source_key", "blocks", place.alias("block"))
@@ -202,7 +202,7 @@ def mixing_decisions(
     targets = write_through(source_targets(sizes, weights, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
     wanted = (
-        list_join(units, targets, "source_key", ["doc_id", "size"], "inner")
+        skew_join(units, targets, "source_key", "inner")
         .withColumn("rate", F.least(F.coalesce(rate, F.lit(0.0)), F.lit(float(most))))
         .withColumn("whole", F.floor("rate"))
         .withColumn("extra", (F.col("rate") - F.col("whole")) * F.col("rows"))

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from clubledger.llm.common import importable_by_workers, tidy
 from clubledger.llm.topk_pivots import usable
-from clubledger.operators.skew import list_join
+from clubledger.operators.skew import skew_join
 from clubledger.session import write_through
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
@@ -323,12 +323,13 @@ def _coded(index: DataFrame, codebook: np.ndarray) -> DataFrame:
     return index.mapInArrow(tidy(assign), schema)
 
 
-def _with_label_error(coded: DataFrame, spread: str) -> DataFrame:
+def _with_label_error(coded: DataFrame) -> DataFrame:
     """Adds the sum of the errors of equal labels; null is a label like the others."""
     key = F.struct("label").alias("key")  # structs of nulls are equal
     rows = coded.select("*", key)
     sums = rows.groupBy("key").agg(F.sum("error").alias("label_error"))
-    return list_join(rows, sums, "key", [spread]).drop("key")
+    # Written, so that Spark knows its size and broadcasts it if there are few labels.
+    return skew_join(rows, write_through(sums, "label-errors"), "key", "inner").drop("key")
 
 
 def encode_vectors(
@@ -382,4 +383,4 @@ def encode_vectors(
     for _ in range(rounds):
         codebook = next_codebook(index, codebook)
     coded = write_through(_coded(index, codebook), "codes")
-    return _with_label_error(coded, "vec_id"), codebook
+    return _with_label_error(coded), codebook

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from clubledger.functions.people import clear_property, set_email
 from clubledger.operators.quality import require_none
-from clubledger.operators.skew import patch_join
-from clubledger.session import write_through
+from clubledger.operators.skew import skew_join
 
 # Bookkeeping columns that say nothing about the person.
 NOT_PROPERTIES = {"person_id", "pos", "ref_pos"}
@@ -125,7 +124,7 @@ def fill_from_references(
         .agg(F.min("offer").alias("offer"))
         .select("person_id", F.col("offer.value").alias("filled"))
     )
-    return write_through(filled, "filled")
+    return filled
 
 
 def backfill(
@@ -136,7 +135,7 @@ def backfill(
 ) -> DataFrame:
     """People with ``prop`` filled from the first matching reference where it is missing."""
     filled = fill_from_references(people, references, prop, exclude)
-    joined = patch_join(people, filled, "person_id")
+    joined = skew_join(people, filled, "person_id")
     missing = F.col(prop).isNull() & F.col("filled").isNotNull()
     if prop == "email":
         result = set_email(joined, missing, F.col("filled"))
@@ -154,7 +153,7 @@ def matching_people(
     fields = match_fields(people, references, exclude)
     examples = references.select(*fields).distinct()
     matched = _meetings(people, examples, fields)
-    return write_through(matched.distinct(), "matching")
+    return matched.distinct()
 
 
 def clear_matching(
@@ -164,7 +163,7 @@ def clear_matching(
 ) -> DataFrame:
     """Clear ``prop`` on everyone who matches a reference."""
     hits = matching_people(people, references)
-    flagged = patch_join(people, hits.withColumn("_hit", F.lit(True)), "person_id")
+    flagged = skew_join(people, hits.withColumn("_hit", F.lit(True)), "person_id")
     return clear_property(flagged, prop, F.col("_hit")).select(*people.columns)
 
 
@@ -179,5 +178,5 @@ def lost_emails(
     """
     lacking = people.where(F.col("email").isNull())
     filled = fill_from_references(lacking, backup, "email", exclude)
-    found = patch_join(lacking, filled, "person_id", "inner")
+    found = skew_join(lacking, filled, "person_id", "inner")
     return set_email(found, F.lit(True), F.col("filled")).select(*people.columns)

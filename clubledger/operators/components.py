@@ -1,87 +1,105 @@
-"""Connected components of an undirected edge list."""
+"""Connected components of an undirected edge list, with nodes leaving on the way."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clubledger.operators.skew import ROWS_PER_TASK, skew_join
+from clubledger.operators.skew import skew_join
 from clubledger.session import remove_written, write_counted, write_through
 
 
-def _tie_to_smallest(edges: DataFrame, balance: bool, rows_per_task: int) -> tuple:
-    """Per node ``a`` the smallest of itself and its neighbours ``b``; also joined
-    back to the edges. ``balance`` keeps nodes with very many edges apart."""
-    smallest = (
-        edges.groupBy("a")
-        .agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
-        .withColumn("low", F.least("a", "low"))
-    )
-    low, counts = smallest.select("a", "low"), smallest.select("a", "n")
-    if balance:
-        return low, skew_join(edges, low, "a", "b", "inner", counts, rows_per_task)
-    return low, edges.join(low, "a")
+def _mixed(node: Column) -> Column:
+    """Another 64-bit number, one for each: shifts and exclusive ors that can be undone.
 
+    Neighbours tend to have neighbouring numbers; in a mixed order about half of the
+    nodes of a long chain leave in every round."""
 
-def _large_star(
-    edges: DataFrame, balance: bool, rows_per_task: int, seen: Observation
-) -> DataFrame:
-    """Ties larger neighbours of every node to the smallest one.
+    def step(x: Column, _: Column) -> Column:
+        x = x.bitwiseXOR(F.shiftleft(x, 13))
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+        return x.bitwiseXOR(F.shiftleft(x, 17))
+
+    # As a loop over four numbers: written out, the expression would double each time.
+    return F.aggregate(F.array(*[F.lit(i) for i in range(4)]), node, step)
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return edges.where("a <> b").select(ends.alias("e")).select("e.*").distinct()
 
-    ``seen`` learns how many ends of edges do not lead straight to the smallest
-    node around them: with none, every component is a star already.
-    """
-    both_ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    _, tied = _tie_to_smallest(both_ways, balance, rows_per_task)
-    astray = F.count(F.when(F.col("low") != F.least("a", "b"), 1))
-    tied = tied.observe(seen, astray.alias("tangled"))
-    return tied.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
+def _round(edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """One round: ``(edges, tree, number of edges, number of tree rows)`` after it.
 
-def _small_star(edges: DataFrame, balance: bool, rows_per_task: int) -> DataFrame:
-    smallest, tied = _tie_to_smallest(edges, balance, rows_per_task)
-    moved = tied.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
-        smallest.withColumnRenamed("low", "b")
+    Every node tells its neighbours and itself the smallest node among them. A node
+    ties all that it has heard of to the smallest of them, its parent. Who is nobody's
+    smallest, not even its own, has nothing more to say and leaves for the tree."""
+    low = edges.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+    told = skew_join(edges, low, "a", "inner").select(F.col("b").alias("node"), "low")
+    heard = told.unionByName(low.withColumnRenamed("a", "node")).distinct()
+    heard = write_through(heard, "heard")
+    best = heard.groupBy("node").agg(
+        F.min("low").alias("parent"), F.bool_or(F.col("low") == F.col("node")).alias("stays")
     )
-    return moved.where("a <> b").distinct()
+    ties = skew_join(heard, best.select("node", "parent"), "node", "inner")
+    following, n_edges = write_counted(
+        _both_ways(ties.select(F.col("low").alias("a"), F.col("parent").alias("b"))), label
+    )
+    tree, n_tree = write_counted(best.where(~F.col("stays")).select("node", "parent"), "tree")
+    remove_written(heard)
+    return following, tree, n_edges, n_tree
+
+
+def _roots(tree: DataFrame, depth: int) -> DataFrame:
+    """``(node, root)`` of all nodes of a tree of this depth: each looks at its parent's
+    parent, which doubles its reach, until the reach is the depth."""
+    reach, tree = 1, tree.withColumnRenamed("parent", "root")
+    while reach < depth:
+        above = tree.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+        further = skew_join(tree, above, "root").select(
+            "node", F.coalesce("higher", "root").alias("root")
+        )
+        tree, reach = write_through(further, "roots"), 2 * reach
+    return tree
 
 
-def connected_components(edges: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def connected_components(
+    edges: DataFrame, report: Callable[[int, int], None] | None = None
+) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``, two bigint columns.
 
-    The component is the smallest node in it. Alternating large-star and
-    small-star steps (Kiveris et al., 2014) end in one star per component after
-    a number of rounds that grows with the logarithm of the component size. A
-    round is one job that writes one table to the shared folder; the same write
-    counts the rows and tells whether its input was finished, and the table before
-    it goes. While there are so many edges that one node could have too many for a
-    task, joins are balanced by the number of edges per node.
+    The component is the smallest node in it. In every round the nodes that are no
+    longer smallest anywhere near leave the edges; they keep a parent, and these
+    parents make a tree from which the labels are handed back at the end (Cracker,
+    Lulli et al., 2017). The edges left become fewer from round to round, and the rounds
+    grow with the logarithm of the component's size. Each round writes its tables
+    to the shared folder, and the tables before it go. A node with very many edges is
+    split over tasks by Spark. ``report`` is told edges left and nodes gone per round.
     """
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node")))
-    current, n_edges = write_counted(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "edges",
+    named = F.explode(F.array("a", "b")).alias("node")
+    nodes = write_through(
+        edges.select(named).distinct().withColumn("mixed", _mixed(F.col("node"))), "nodes"
     )
+    mixed = edges.select(_mixed(F.col("a")).alias("a"), _mixed(F.col("b")).alias("b"))
+    current, n_edges = write_counted(_both_ways(mixed), "edges")
+    trees = []
     while n_edges:
-        balance, seen = 2 * n_edges > rows_per_task, Observation()
-        larger = _large_star(current, balance, rows_per_task, seen)
-        if balance:
-            larger = write_through(larger, "larger")
-        following, n_following = write_counted(
-            _small_star(larger, balance, rows_per_task), "edges"
-        )
-        if balance:
-            remove_written(larger)
-        if seen.get["tangled"] == 0:
-            remove_written(following)
-            break
+        following, tree, n_edges, n_gone = _round(current, "edges")
         remove_written(current)
-        current, n_edges = following, n_following
-    labels = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return (
-        nodes.distinct()
-        .join(labels, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("component"))
-    )
+        current = following
+        trees.append(tree)
+        if report:
+            report(n_edges, n_gone)
+    if not trees:
+        return nodes.select("node", F.col("node").alias("component"))
+    whole = trees[0]
+    for tree in trees[1:]:
+        whole = whole.unionByName(tree)
+    roots = _roots(whole, len(trees)).withColumnRenamed("node", "mixed")
+    placed = nodes.join(roots, "mixed", "left").select("node", F.coalesce("root", "mixed").alias("root"))
+    placed = write_through(placed, "placed-nodes")
+    smallest = placed.groupBy("root").agg(F.min("node").alias("component"))
+    return skew_join(placed, smallest, "root", "inner").select("node", "component")

@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from clubledger.functions.people import person_label, street_key
 from clubledger.operators.components import connected_components
 from clubledger.operators.families import families_with_value, family_sizes
-from clubledger.operators.skew import (
-    ROWS_PER_TASK,
-    list_join,
-    table_join,
-)
+from clubledger.operators.skew import skew_join
 from clubledger.session import write_through
 
 # A large household is put together from blocks of at most this many people.
@@ -107,9 +103,7 @@ def sorted_household_list(rows: DataFrame) -> DataFrame:
     return rows.orderBy(*[F.asc_nulls_last(k) for k in ("PLZ", "Ort", "Strasse", "Name")])
 
 
-def combine_housemates(
-    people: DataFrame, links: DataFrame, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def combine_housemates(people: DataFrame, links: DataFrame) -> DataFrame:
     """Merge the households that a housemate list names together.
 
     ``links(group_pos, member_pos, member_number)`` has one row per listed
@@ -125,7 +119,7 @@ def combine_housemates(
     wanted = links.select("member_number").distinct()
     numbered = people.select("member_number", "household", "person_id")
     candidates = write_through(
-        list_join(numbered, wanted, "member_number", "person_id", "inner", rows_per_task)
+        skew_join(numbered, wanted, "member_number", "inner")
         .select("member_number", "household")
         .distinct(),
         "candidates",
@@ -133,12 +127,12 @@ def combine_housemates(
     touched = candidates.select("household").distinct()
     residents = people.select("household", "person_id", "pos")
     seen = (
-        list_join(residents, touched, "household", "person_id", "inner", rows_per_task)
+        skew_join(residents, touched, "household", "inner")
         .groupBy("household")
         .agg(F.min("pos").alias("first_pos"), F.min("person_id").alias("node"))
     )
     found = write_through(
-        table_join(candidates, seen, "household", "member_number", "inner", rows_per_task)
+        skew_join(candidates, seen, "household", "inner")
         .groupBy("member_number")
         .agg(F.min_by(F.struct("household", "node"), "first_pos").alias("found"))
         .select("member_number", "found.household", "found.node"),
@@ -147,16 +141,16 @@ def combine_housemates(
     link_id = ["group_pos", "member_pos"]
     nodes = found.select("member_number", "node")
     listed = write_through(
-        table_join(links, nodes, "member_number", link_id, "inner", rows_per_task).select(
+        skew_join(links, nodes, "member_number", "inner").select(
             *link_id, "node"
         ),
         "listed",
     )
     # Every household of a group is tied to the first one found.
     heads = listed.groupBy("group_pos").agg(F.min_by("node", "member_pos").alias("head"))
-    ties = table_join(listed, heads, "group_pos", link_id, "inner", rows_per_task)
+    ties = skew_join(listed, heads, "group_pos", "inner")
     edges = ties.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    components = connected_components(edges, rows_per_task)
+    components = connected_components(edges)
     first_link = listed.groupBy("node").agg(F.min(F.struct(*link_id)).alias("link"))
     placed = write_through(
         found.select("household", "node")
@@ -166,7 +160,7 @@ def combine_housemates(
         .select("household", "component", "link"),
         "placed",
     )
-    merged = list_join(people, placed, "household", "person_id", "left", rows_per_task)
+    merged = skew_join(people, placed, "household")
     own = F.when(F.col("component").isNull(), F.col("household")).alias("own")
     return merged.withColumns(
         {"household": F.struct("component", own), "member_order": F.struct("link", "pos")}

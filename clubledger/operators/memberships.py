@@ -21,7 +21,10 @@ from clubledger.constants import (
 from clubledger.functions.people import is_youth_group
 from clubledger.operators.addresses import address_columns, role_label
 from clubledger.operators.skew import skew_join
-from clubledger.session import write_through
+
+
+# Parts over which the rows of the overlap matrix are dealt.
+MATRIX_PARTS = 64
 
 
 def is_coach_row() -> Column:
@@ -66,7 +69,7 @@ def matched_rows(
         F.col("member_number").isNotNull() & ~F.col("member_number").isin(list(excluded))
     )
     lookup = uniquely_numbered(people, "person_id", *keep)
-    return skew_join(usable, lookup, "member_number", row_id="row_id", how="inner")
+    return skew_join(usable, lookup, "member_number", "inner")
 
 
 def dropped_rows(
@@ -182,55 +185,80 @@ def overlap_cells(memberships: DataFrame) -> DataFrame:
     """Non-zero cells of the group overlap matrix of the non-youth groups.
 
     ``n`` counts the entries of ``riege``, repeats included, whose person also
-    appears in ``other``. People with the same set of groups are counted
-    together first; only then is each such set unfolded into its cells, so no
-    pairs are built per person and there is no self-join. A set holds each group
-    once, however often a person is listed, so it is never longer than a row of
-    the matrix.
+    appears in ``other``: the product of the sparse person by group table with itself.
+    Only the groups of one person meet, each group once however often the person is
+    listed there, so a person has at most as many cells as the matrix. The cells are
+    added up by pair of groups before they are shuffled.
     """
     entries = (
         memberships.where(~is_youth_group(F.col("riege")))
         .groupBy("person_id", "riege")
         .agg(F.count(F.lit(1)).alias("k"))
     )
-    patterns = (
-        entries.groupBy("person_id")
-        .agg(F.sort_array(F.collect_list(F.struct("riege", "k"))).alias("entries"))
-        .groupBy("entries")
-        .agg(F.count(F.lit(1)).alias("people"))
-    )
+    own = F.collect_list(F.struct("riege", "k")).alias("entries")
     return (
-        patterns.select(F.explode("entries").alias("a"), "entries", "people")
+        entries.groupBy("person_id")
+        .agg(own)
+        .select(F.explode("entries").alias("a"), "entries")
         .select(
             F.col("a.riege").alias("riege"),
             F.explode("entries.riege").alias("other"),
-            (F.col("a.k") * F.col("people")).alias("n"),
+            F.col("a.k").alias("n"),
         )
         .groupBy("riege", "other")
         .agg(F.sum("n").alias("n"))
     )
 
 
-def overlap_matrix(memberships: DataFrame) -> DataFrame:
-    """The full matrix in long form, zero cells included."""
-    cells = write_through(overlap_cells(memberships), "cells")
-    # A group always overlaps itself, so its name appears among the cells. Every cell
-    # of the matrix is a row of the result, the pairs without a common person too.
-    names = cells.select("riege").distinct()
-    every = F.lit(1).alias("_all")
+def overlap_matrix(memberships: DataFrame, parts: int = MATRIX_PARTS) -> DataFrame:
+    """The full matrix in long form, zero cells included.
+
+    Its rows are dealt over ``parts`` by a hash of their group, and every part gets
+    all groups as columns, so that each makes the zero cells of its own rows."""
+    cells = overlap_cells(memberships)
+    # A group always overlaps itself, so its name appears among the cells. The
+    # condition holds for every cell; it keeps the counts in the plan, which is then
+    # the one that the cells have, and Spark computes both once.
+    names = cells.where("n > 0").select("riege").distinct()
+    part = F.pmod(F.xxhash64("riege"), F.lit(parts)).cast("int").alias("part")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
     zeros = (
-        names.select("riege", every)
-        .join(names.select(F.col("riege").alias("other"), every), "_all")
+        names.select("riege", part)
+        .join(names.select(F.col("riege").alias("other"), every), "part")
         .select("riege", "other", F.lit(0).cast("bigint").alias("n"))
     )
     return zeros.unionByName(cells).groupBy("riege", "other").agg(F.sum("n").alias("n"))
 
 
 def overlap_wide(matrix: DataFrame) -> DataFrame:
-    """The full matrix with one column per group, in order of their names.
+    """``(riege, cells)``: the rows of the full matrix, each with all its cells
+    ``(other, n)`` in order of ``other``, which is the same in every row.
 
-    The names become the columns of the result, so they have to be known here; with
-    them given, no limit on their number applies.
-    """
-    names = [r["other"] for r in matrix.select("other").distinct().orderBy("other").collect()]
-    return matrix.groupBy("riege").pivot("other", names).agg(F.any_value("n"))
+    A row is as long as there are groups; no name has to be known beforehand."""
+    cells = F.sort_array(F.collect_list(F.struct("other", "n")))
+    return matrix.groupBy("riege").agg(cells.alias("cells"))
+
+
+def overlap_lines(wide: DataFrame, separator: str = ";") -> DataFrame:
+    """The wide matrix as lines of text in order: the groups as a header, then a row
+    for each of them. Names that hold the separator, a quote or a line break are
+    quoted."""
+
+    def cell(name: Column) -> Column:
+        quoted = F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(name.rlike(f'["\r\n{separator}]'), quoted).otherwise(name)
+
+    header = wide.agg(F.sort_array(F.collect_list("riege")).alias("names")).select(
+        F.lit(0).alias("place"),
+        F.lit("").alias("riege"),
+        F.concat_ws(
+            separator, F.array(F.lit("riege")), F.transform("names", cell)
+        ).alias("value"),
+    )
+    numbers = F.transform("cells", lambda c: c["n"].cast("string"))
+    rows = wide.select(
+        F.lit(1).alias("place"),
+        "riege",
+        F.concat_ws(separator, F.array(cell(F.col("riege"))), numbers).alias("value"),
+    )
+    return header.unionByName(rows).orderBy("place", "riege").select("value")

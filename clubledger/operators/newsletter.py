@@ -18,7 +18,6 @@ from clubledger.functions.people import (
     joined_distinct,
     python_bool_text,
 )
-from clubledger.operators.skew import ROWS_PER_TASK, split_heavy
 
 NEWSLETTER_COLUMNS = [
     "firstname",
@@ -38,14 +37,12 @@ def _flag(condition: Column) -> Column:
     return F.coalesce(F.bool_or(condition), F.lit(False))
 
 
-def newsletter_rows(
-    people: DataFrame, as_of: dt.date, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def newsletter_rows(people: DataFrame, as_of: dt.date) -> DataFrame:
     """One row per non-empty address with joined names, gender and category flags.
 
-    As a rule a single aggregation by address. The names of an address used by
-    very many people are reduced to the distinct ones first, spread over all
-    tasks by address and name, so that only those meet in one place.
+    One scan and one aggregation by address: every task reduces the names of an
+    address to the distinct ones before the shuffle, so however many people use it, no
+    more than the names that are printed meet in one place.
     """
     reached = with_address(people).select(
         F.col("email").alias("Email"),
@@ -59,17 +56,9 @@ def newsletter_rows(
         *[_flag(F.col("category") == v).alias(k) for k, v in NEWSLETTER_CATEGORIES.items()],
     ]
     names = {"firstname": "first_name", "lastname": "last_name"}
-    usual, crowded = split_heavy(reached, "Email", rows_per_task)
-    rows = usual.groupBy("Email").agg(
+    rows = reached.groupBy("Email").agg(
         *[joined_distinct(c).alias(n) for n, c in names.items()], *flags
     )
-    if crowded is not None:
-        gathered = crowded.groupBy("Email").agg(*flags)
-        for name, column in names.items():
-            distinct = crowded.select("Email", column).distinct()
-            joined = F.array_join(F.sort_array(F.collect_list(column)), " & ")
-            gathered = gathered.join(distinct.groupBy("Email").agg(joined.alias(name)), "Email")
-        rows = rows.unionByName(gathered)
     return rows.withColumn("updated", F.lit(as_of)).select(*NEWSLETTER_COLUMNS)
 
 

@@ -1,30 +1,24 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Joins that stay balanced when one key holds a large share of the rows.
 
-from __future__ import annotations
+Nothing is counted in advance: Spark knows after its shuffle which partition is too
+large, splits it by the tasks that wrote it and repeats the other side for every part
+(adaptive execution, on by default). It can do so only where both sides of the join
+come straight from a shuffle made for it. A lookup that was grouped by the key just
+before is dealt out already, and would be joined in the stage of the grouping, whose
+partitions have to stay whole. ``skew_join`` therefore joins by the key and its hash:
+that is a way of dealing out of its own, so both sides are shuffled for the join.
+"""
 
-from collections.abc import Sequence
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key gets split once it has more rows than one task should read ...
+# A key is heavy if it has more rows than one task should read ...
 ROWS_PER_TASK = 1_000_000
 # ... and holds at least one part in this many of all rows, so that no more than
-# a million keys can ever be listed, whatever the size of the data. A key below
-# that is a small part of the load of one task, for a cluster has fewer cores.
+# a million keys can ever be listed, whatever the size of the data.
 MAX_HEAVY_KEYS = 1_000_000
-# A lookup table of at most this many (short) rows is sent to every executor.
-MAX_BROADCAST_ROWS = 500_000
-
-
-def row_counts(rows: DataFrame, *key: str) -> DataFrame:
-    """Rows per key as column ``n``, combined before the shuffle."""
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-
-
-def largest(counts: DataFrame) -> int:
-    """The greatest ``n`` of a table of counts."""
-    return counts.agg(F.max("n")).first()[0] or 0
 
 
 def heavy_rows(counts: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
@@ -37,121 +31,15 @@ def heavy_rows(counts: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
     return counts.where((F.col("n") > limit) & (F.col("n") * MAX_HEAVY_KEYS >= total))
 
 
-def hash_counts(rows: DataFrame, key: str) -> DataFrame:
-    """Rows per hash of a key: two numbers per key, however wide the keys are.
-
-    Keys with the same hash are counted, and later split, together. That does no
-    harm, for a split never changes a result.
-    """
-    return row_counts(rows.select(F.xxhash64(key).alias("key_hash")), "key_hash")
-
-
-def split_heavy(
-    rows: DataFrame, key: str, limit: int = ROWS_PER_TASK
-) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of ordinary keys and those of keys too large for one task.
-
-    The second part is ``None`` if there are none, and may hold the rows of a few
-    ordinary keys that have the hash of a heavy one.
-    """
-    counts = hash_counts(rows, key)
-    if largest(counts) <= limit:
-        return rows, None
-    heavy = F.broadcast(heavy_rows(counts, limit).select("key_hash"))
-    hashed = rows.withColumn("key_hash", F.xxhash64(key))
-    return tuple(
-        hashed.join(heavy, "key_hash", how).drop("key_hash") for how in ("left_anti", "left_semi")
-    )
-
-
-def skew_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    row_id: str | Sequence[str],
-    how: str = "left",
-    counts: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
+def skew_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Equi-join ``rows`` (any number per key) with ``lookup`` (one row per key).
 
-    The rows are counted per key first. Without a heavy key this is a plain join.
-    Otherwise rows of a heavy key are cut into parts by a hash of ``row_id``,
-    which must tell them apart, and the one lookup row is repeated per part; all
-    other keys stay in a single part, so the shuffle carries nothing extra for
-    them. Rows without a key count as one more key where they are kept.
-    ``counts`` may pass row counts ``(key, n)`` that are already known.
+    Builds a plan and runs nothing. Rows without a key count as one more key where
+    they are kept. A small lookup is broadcast by Spark, which knows its size.
     """
     # Equal keys must have equal hashes, so the two sides need one type.
     lookup = lookup.withColumn(key, F.col(key).cast(rows.schema[key].dataType))
-    if counts is not None:
-        hashed = counts.select(F.xxhash64(key).alias("key_hash"), "n")
-        counts = hashed.groupBy("key_hash").agg(F.sum("n").alias("n"))
-    else:
-        matchable = how in ("inner", "left_semi")
-        counts = hash_counts(rows.where(F.col(key).isNotNull()) if matchable else rows, key)
-    if largest(counts) <= rows_per_task:
-        return rows.join(lookup, key, how)
-    splits = F.ceil(F.col("n") / rows_per_task).alias("splits")
-    heavy = F.broadcast(heavy_rows(counts, rows_per_task).select("key_hash", splits))
-    ids = [row_id] if isinstance(row_id, str) else list(row_id)
-    part = F.coalesce(F.pmod(F.xxhash64(*ids), "splits"), F.lit(0))
-    one = F.lit(1).cast("bigint")
-    parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("splits", one) - one)
-
-    def with_splits(table: DataFrame) -> DataFrame:
-        return table.withColumn("key_hash", F.xxhash64(key)).join(heavy, "key_hash", "left")
-
-    left = with_splits(rows).withColumn("_part", part).drop("key_hash", "splits")
-    right = with_splits(lookup).withColumn("_part", F.explode(parts)).drop("key_hash", "splits")
-    return left.join(right, [key, "_part"], how).drop("_part")
-
-
-def table_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    row_id: str | Sequence[str],
-    how: str = "left",
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """``skew_join`` for rows that are a written table, whose size is cheap to ask:
-    one that fits a single task needs no counting per key."""
-    if rows.count() <= rows_per_task:
-        return rows.join(lookup, key, how)
-    return skew_join(rows, lookup, key, row_id, how, rows_per_task=rows_per_task)
-
-
-def list_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    row_id: str | Sequence[str],
-    how: str = "left",
-    rows_per_task: int = ROWS_PER_TASK,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Join with a hand-kept list, one short row per key, that is usually small.
-
-    The list is counted first. A small one is broadcast and ``rows`` are not
-    shuffled at all; beyond the limit the join is done by ``skew_join``.
-    """
-    if lookup.count() <= max_broadcast_rows:
-        return rows.join(F.broadcast(lookup), key, how)
-    return skew_join(rows, lookup, key, row_id, how, rows_per_task=rows_per_task)
-
-
-def patch_join(
-    rows: DataFrame,
-    patch: DataFrame,
-    key: str,
-    how: str = "left",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Join on a key that is unique on both sides, the patch being a written table.
-
-    A patch for few rows is broadcast, so that the many rows it does not concern
-    stay where they are; a large one is an ordinary join.
-    """
-    small = patch.count() <= max_broadcast_rows
-    return rows.join(F.broadcast(patch) if small else patch, key, how)
+    hashed = "_key_hash"
+    left = rows.withColumn(hashed, F.xxhash64(key))
+    right = lookup.withColumn(hashed, F.xxhash64(key))
+    return left.join(right, [key, hashed], how).drop(hashed)

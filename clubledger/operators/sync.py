@@ -13,8 +13,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clubledger.constants import RECEIVER_TYPES
-from clubledger.operators.quality import require_none
+from clubledger.constants import DELETE_OK, RECEIVER_TYPES, UPSERT_OK
+from clubledger.operators.quality import failed_results, require_none
 
 
 def is_stale(as_of: dt.date) -> Column:
@@ -118,6 +118,40 @@ def log_of(rows: DataFrame) -> DataFrame:
     return rows.select("email", F.explode(taken).alias("action"))
 
 
+def problem_log(receivers: DataFrame) -> DataFrame:
+    """``(email, action)`` for every address of a snapshot that is missing or repeated,
+    which a sync reports beside what it does."""
+    action = F.when(F.col("email").isNull(), "missing address").otherwise("repeated address")
+    return address_problems(receivers).select("email", action.alias("action"))
+
+
+def failed_actions(actions: DataFrame, results: DataFrame) -> DataFrame:
+    """``(email, action, status)`` of the actions that the service did not confirm.
+
+    ``results(email, step, status)`` are its answers to a push and a delete, one per
+    address. An insert or update has to be answered by the success value of a push, a
+    delete by that of a delete; an action without an answer has failed as well, with
+    no status. Activations have no answer of their own."""
+    step = F.when(F.col("action") == "delete", "delete").when(
+        F.col("action").isin("insert", "update"), "push"
+    )
+    asked = actions.withColumn("step", step).where("step IS NOT NULL")
+    answered = asked.join(results.select("email", "step", "status"), ["email", "step"], "left")
+    pushed = failed_results(answered.where("step = 'push'"), UPSERT_OK)
+    deleted = failed_results(answered.where("step = 'delete'"), DELETE_OK)
+    return pushed.unionByName(deleted).select("email", "action", "status")
+
+
+def confirmed_snapshot(receivers: DataFrame, after: DataFrame, failed: DataFrame) -> DataFrame:
+    """The snapshot after a sync whose failed actions are undone: receivers that could
+    not be pushed or deleted are as before, and new ones are not there."""
+    addresses = failed.select("email").distinct()
+    kept = after.join(addresses, "email", "left_anti")
+    before = receivers.join(addresses, "email", "left_semi")
+    columns = [c for c in after.columns if c in before.columns]
+    return kept.unionByName(before.select(*columns), allowMissingColumns=True).select(*after.columns)
+
+
 def snapshot_of(rows: DataFrame) -> DataFrame:
     """The snapshot that merged rows leave; new receivers have no id yet."""
     after = rows.where(~F.col("deleted"))

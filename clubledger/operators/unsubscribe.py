@@ -6,28 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clubledger.functions.people import set_email
-from clubledger.operators.skew import MAX_BROADCAST_ROWS, ROWS_PER_TASK, list_join
+from clubledger.operators.skew import skew_join
 
 
-def unsubscribe(
-    people: DataFrame,
-    removed: DataFrame,
-    rows_per_task: int = ROWS_PER_TASK,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
+def unsubscribe(people: DataFrame, removed: DataFrame) -> DataFrame:
     """Clear the address of everyone whose primary address is on the list.
 
     Alternative addresses go with it. Matching is exact; entries without an
     address do nothing.
     """
     listed = removed.where(F.col("email").isNotNull()).select("email").distinct()
-    marked = list_join(
-        people,
-        listed.withColumn("_listed", F.lit(True)),
-        "email",
-        "person_id",
-        "left",
-        rows_per_task,
-        max_broadcast_rows,
-    )
+    marked = skew_join(people, listed.withColumn("_listed", F.lit(True)), "email")
     return set_email(marked, F.col("_listed"), F.lit(None).cast("string")).select(*people.columns)

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubledger.constants import ORGAN_GROUPS
+from clubledger.constants import ORGAN_GROUPS, RECEIVER_TYPES
 from clubledger.operators import filters, memberships, quality
 from clubledger.operators.addresses import address_list
 from clubledger.operators.byexample import empty_references, lost_emails
@@ -23,13 +23,25 @@ from clubledger.operators.newsletter import (
     receiver_payload,
 )
 from clubledger.operators.statistics import club_statistics, statistics_text
-from clubledger.operators.sync import address_problems, log_of, merged, snapshot_of
+from clubledger.operators.sync import (
+    address_problems,
+    confirmed_snapshot,
+    failed_actions,
+    log_of,
+    merged,
+    problem_log,
+    snapshot_of,
+)
 from clubledger.plans.main_people import main_people
 from clubledger.session import write_through
 from clubledger.sinks import files
 from clubledger.sources import exports
 
 
+# What a receiver can be; "all" asks for every one of them.
+STATUSES = [t for t in RECEIVER_TYPES if t != "all"]
+
+
 @dataclass
 class Ledger:
     """People after unsubscribing and additions, with the group file beside them."""
@@ -110,12 +122,33 @@ class Ledger:
     def sync(self, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Change log and new snapshot of the mailing service, attributes included.
 
-        Both come from one merged table, which is written once.
+        Both come from one merged table, which is written once and checked by that
+        write. Addresses of the snapshot that are missing or repeated are in the log;
+        with ``strict``, they and statuses that nobody knows are errors, and nothing
+        is published.
         """
         address_problems(snapshot, self.strict)
         incoming = self.receivers().select("email", "global_attributes")
-        rows = write_through(merged(snapshot, incoming, self.as_of), "sync")
-        return log_of(rows), snapshot_of(rows)
+        known = F.col("status").isin(*STATUSES)
+        checks = {
+            "no_address": F.col("email").isNull(),
+            "unknown_status": F.col("status").isNull() | ~known,
+        }
+        rows, _ = quality.audited_write(
+            merged(snapshot, incoming, self.as_of), "sync", checks, self.strict
+        )
+        return log_of(rows).unionByName(problem_log(snapshot)), snapshot_of(rows)
+
+    def confirm(
+        self, snapshot: DataFrame, log: DataFrame, after: DataFrame, results: DataFrame
+    ) -> tuple[DataFrame, DataFrame]:
+        """Failed actions of a sync and the snapshot without them, by the answers
+        ``results(email, step, status)`` of the mailing service. With ``strict``, a
+        failed action is an error."""
+        failed, _ = quality.audited_write(
+            failed_actions(log, results), "failed", {"failed": F.lit(True)}, self.strict
+        )
+        return failed, confirmed_snapshot(snapshot, after, failed)
 
     # -- files -----------------------------------------------------------------
     def export(self, name: str, folder: str, fmt: str = "csv", **arguments) -> str:
@@ -130,9 +163,8 @@ class Ledger:
         if name == "rosters":
             return files.write_rosters(self.rosters(), f"{base}/rosters", self.as_of, fmt)
         if name == "overlap":
-            matrix = write_through(self.overlap(), "overlap")
-            wide = memberships.overlap_wide(matrix).orderBy("riege")
-            files.write_list(wide, f"{base}/overlap", fmt)
+            wide = memberships.overlap_wide(self.overlap())
+            files.write_matrix(wide, f"{base}/overlap", fmt)
             return f"{base}/overlap"
         if name == "assembly_lists":
             rows = self.assembly_lists(**arguments)

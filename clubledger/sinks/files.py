@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clubledger.functions.people import display_date
+from clubledger.operators.memberships import overlap_lines
 from clubledger.operators.newsletter import newsletter_text, receiver_json
 
 
@@ -40,6 +41,15 @@ def write_list(rows: DataFrame, path: str, fmt: str = "csv", mode: str = "errori
         raise ValueError(f"unknown file type: {fmt}")
 
 
+def write_matrix(wide: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
+    """The wide overlap matrix: lines of text with a header, or Parquet with lists of
+    cells. The groups are data here, not columns, so there may be any number of them."""
+    if fmt == "csv":
+        overlap_lines(wide, ",").write.mode(mode).text(path)
+    else:
+        write_list(wide.orderBy("riege"), path, fmt, mode)
+
+
 def write_partitioned(
     rows: DataFrame, by: str, path: str, fmt: str = "csv", mode: str = "errorifexists"
 ) -> None:

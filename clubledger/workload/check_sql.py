@@ -53,6 +53,7 @@ _TRUTH = ["maennlich", "weiblich", *NEWSLETTER_CATEGORIES]
 _PRINTED = ",\n ".join(f"CASE WHEN {c} THEN 'True' ELSE 'False' END AS {c}" for c in _TRUTH)
 _PRINT = f"""SELECT firstname, lastname, Email, '28.02.2024' AS updated,
  {_PRINTED} FROM rows_"""
+_RECORD = ["firstname", "lastname", "maennlich", "weiblich", "updated", *NEWSLETTER_CATEGORIES]
 _ATTRIBUTES = ["firstname", "lastname", "updated", *_TRUTH]
 _PAYLOAD = "\nUNION ALL ".join(
     f"SELECT Email AS email, 'User Import' AS source, '{c}' AS attribute, {c} AS attribute_value FROM printed"
@@ -408,7 +409,48 @@ UNION ALL SELECT email, 'firstname', 'Alt' FROM kept WHERE known AND NOT incomin
     ),
     "group_matrix_wide": _with(
         ["people", "organ_rows"],
-        f"{CELLS}\nSELECT other, CAST(SUM(n) AS BIGINT) AS n FROM cells GROUP BY other",
+        f"""{CELLS},
+names AS (SELECT DISTINCT riege FROM grown)
+SELECT a.riege, b.riege AS other, coalesce(c.n, 0) AS n FROM names a CROSS JOIN names b
+LEFT JOIN cells c ON c.riege = a.riege AND c.other = b.riege""",
+    ),
+    "memberships_without_excluded": _with(
+        ["people", "organ_rows"],
+        f"""{BAG.replace("(317492, 871369)", "(3, 7, 32)")}
+SELECT riege, role, COUNT(*) AS n_entries FROM bag GROUP BY riege, role""",
+    ),
+    "preschool_conflicts": _with(
+        ["people", "organ_rows"],
+        f"""WITH {MATCHED}
+SELECT m.person_id FROM matched m JOIN people p ON p.person_id = m.person_id
+WHERE NOT m.coach AND m.function_name = 'Kitu' AND p.category = 'Kitu (Kinder)'""",
+    ),
+    "address_problems": _with(
+        ["people"],
+        "SELECT email, COUNT(*) AS n FROM people GROUP BY email HAVING COUNT(*) > 1 OR email IS NULL",
+    ),
+    "saved_filter": _with(
+        ["people", "receivers"],
+        f"SELECT * FROM receivers WHERE updated IS DISTINCT FROM {AS_OF} AND status <> 'active'",
+    ),
+    "failed_sync_actions": _with(
+        SYNC_INPUTS,
+        f"""{MERGED},
+answered AS (SELECT email, known, incoming, updated, CASE WHEN snapshot_status = 'bounce' THEN 'failed'
+  WHEN snapshot_updated IS NOT NULL THEN 'fine' END AS answer
+  FROM (SELECT p.*, r.status AS snapshot_status, r.updated AS snapshot_updated FROM pushed p
+    LEFT JOIN receivers r ON r.email = p.email) b)
+SELECT email, CASE WHEN NOT incoming THEN 'delete' WHEN known THEN 'update' ELSE 'insert' END AS action,
+ answer AS status FROM answered
+WHERE (answer IS NULL OR answer = 'failed') AND (incoming OR updated IS DISTINCT FROM {AS_OF})""",
+    ),
+    "receiver_records": _with(
+        ["people"],
+        f"""WITH rows_ AS ({_newsletter('people')}),
+printed AS ({_PRINT})
+SELECT concat('{{"email":"', Email, '","source":"User Import","attributes":{{}},"global_attributes":{{',
+ {", ',', ".join(f"""'"{c}":"', {c}, '"'""" for c in _RECORD)},
+ '}},"tags":[],"orders":[]}}') AS value FROM printed""",
     ),
     "receivers_deleted": _with(
         ["people", "receivers"], f"SELECT * FROM receivers WHERE updated = {AS_OF}"
@@ -431,3 +473,4 @@ SQL["receiver_stats"] = _with(["people", "receivers"], _STATS)
 SQL["stale_receiver_stats"] = _with(
     ["people", "receivers"], f"{_STATS} WHERE updated IS DISTINCT FROM {AS_OF}"
 )
+SQL["excluded_memberships"] = SQL["dropped_memberships"].replace("(317492, 871369)", "(3, 7, 32)")

@@ -4,9 +4,9 @@ The SQL below is read by Spark to make the inputs of the queries and by the SQL
 check to make the same inputs there; it uses only what both understand. People
 come from ``orders`` (one person per order, families and households around the
 customer), group rows from ``lineitem``, and the side lists from ``customer``,
-``supplier`` and the people themselves. Every row of these tables takes part;
-remainders only make up values, and the side lists are chosen by balances, dates
-and the like.
+``supplier`` and the people themselves. Every row of these tables makes a row of its list;
+remainders, balances and dates only make up values, such as an address that nobody
+has or a name that matches nobody.
 """
 
 from __future__ import annotations
@@ -88,57 +88,65 @@ SELECT person_id, pos,
 FROM {people}
 """
 
-# The group file: repeats, unmatched numbers and blank function names included.
+# The group file: repeats, unmatched numbers and blank function names included. A member
+# is in one "Gruppe" at most, so no two of them share anybody.
 ORGAN_ROWS = """
 SELECT l_orderkey * 100000000 + l_partkey * 10 + l_linenumber AS row_id,
  CASE WHEN l_discount = 0 AND l_linenumber = 7 THEN NULL ELSE l_orderkey END AS member_number,
  CASE WHEN l_tax = 0.08 THEN 'Leiter' WHEN l_tax = 0.07 THEN 'Leiterin'
       WHEN l_tax = 0.06 AND l_linenumber = 1 THEN NULL
+      WHEN l_tax = 0.05 AND l_linenumber = 2 THEN 'Kitu'
+      WHEN l_tax = 0.04 AND l_linenumber = 1 THEN concat('Gruppe ', CAST(l_partkey % 150 AS STRING))
       WHEN l_returnflag = 'R' THEN concat('Jugi ', CAST(CAST(l_quantity AS INT) AS STRING))
       ELSE concat('Riege ', CAST(CAST(l_quantity AS INT) AS STRING)) END AS function_name,
  concat('organ', CAST(l_linenumber AS STRING)) AS organ
 FROM {lineitem}
 """
 
-# Households known to belong together: a customer's first and last order and the
-# first order of the next customer, wherever the account balance is below 2000.
+# Households known to belong together: every customer's first and last order and, where
+# the account balance is below 2000, the first order of the next customer.
 HOUSEMATES = """
 SELECT c.c_custkey AS group_pos,
- concat(CAST(a.lo AS STRING), ', ', CAST(a.hi AS STRING), ', ', CAST(b.lo AS STRING)) AS Mitgliedernummern
+ concat(CAST(a.lo AS STRING), ', ', CAST(a.hi AS STRING),
+        CASE WHEN c.c_acctbal < 2000 AND b.lo IS NOT NULL THEN concat(', ', CAST(b.lo AS STRING))
+        ELSE '' END) AS Mitgliedernummern
 FROM {customer} c
 JOIN (SELECT o_custkey AS custkey, MIN(o_orderkey) AS lo, MAX(o_orderkey) AS hi
       FROM {orders} GROUP BY o_custkey) a ON a.custkey = c.c_custkey
-JOIN (SELECT o_custkey AS custkey, MIN(o_orderkey) AS lo
+LEFT JOIN (SELECT o_custkey AS custkey, MIN(o_orderkey) AS lo
       FROM {orders} GROUP BY o_custkey) b ON b.custkey = c.c_custkey + 1
-WHERE c.c_acctbal < 2000
 """
 
-# An older copy of the people who had joined by then; some know the member
-# number, the others only name and postal code, and some only the name.
+# An older copy of the people, which has the address of those who had joined by then;
+# some know the member number, the others only name and postal code, some only the name.
 BACKUP = """
 SELECT person_id AS ref_pos,
  CASE WHEN gender = 'Männlich' THEN member_number END AS member_number,
  first_name, last_name,
  CASE WHEN category IS NOT NULL THEN plz END AS plz,
- CASE WHEN category <> 'Knaben' THEN concat('backup', CAST(person_id AS STRING), '@example.org') END AS email
-FROM {people} WHERE date_added < DATE '1985-01-01'
+ CASE WHEN category <> 'Knaben' AND date_added < DATE '1985-01-01'
+      THEN concat('backup', CAST(person_id AS STRING), '@example.org') END AS email
+FROM {people}
 """
 
-# People to be cleared by example: a name each, with or without the postal code.
+# People to be cleared by example: a name each, with or without the postal code. Those
+# born later are listed under a name that nobody has.
 CLEAR_LIST = """
-SELECT first_name, last_name, CASE WHEN gender = 'Männlich' THEN plz END AS plz
-FROM {people} WHERE birthday < DATE '1940-01-01'
+SELECT CASE WHEN birthday < DATE '1940-01-01' THEN first_name ELSE concat('Alt', first_name) END AS first_name,
+ last_name, CASE WHEN gender = 'Männlich' THEN plz END AS plz
+FROM {people}
 """
 
-# Unsubscribed addresses, some listed twice, one entry without an address.
+# Unsubscribed addresses, two for every customer: some listed twice, some that nobody has,
+# some entries without an address.
 REMOVELIST = """
-SELECT concat('familie', CAST(c_custkey AS STRING), '.o@example.org') AS email
-FROM {customer} WHERE c_acctbal < 0
-UNION ALL
-SELECT concat('familie', CAST(c_custkey AS STRING), '.o@example.org') AS email
-FROM {customer} WHERE c_acctbal < -500
+SELECT CASE WHEN c_acctbal < 0 THEN concat('familie', CAST(c_custkey AS STRING), '.o@example.org')
+ ELSE concat('ehemals', CAST(c_custkey AS STRING), '@example.org') END AS email
+FROM {customer}
 UNION ALL
-SELECT CAST(NULL AS STRING) AS email
+SELECT CASE WHEN c_acctbal < -500 THEN concat('familie', CAST(c_custkey AS STRING), '.o@example.org')
+ END AS email
+FROM {customer}
 """
 
 # Recipients who are not members; some are members' families too.
@@ -152,12 +160,13 @@ FROM {supplier}
 
 # The mailing service before the sync: current, stale and unknown addresses.
 RECEIVERS = """
-SELECT MIN(person_id) AS receiver_id, email,
+SELECT MIN(person_id) AS receiver_id,
+ CASE WHEN MIN(date_added) < DATE '1990-01-01' THEN email ELSE concat('frueher.', email) END AS email,
  CASE WHEN MIN(first_name) = 'Vorname1' THEN NULL
       WHEN MIN(category) = 'Knaben' THEN DATE '2024-02-28' ELSE DATE '2024-01-31' END AS updated,
  CASE WHEN MIN(first_name) = 'Vorname2' THEN 'bounce' WHEN MAX(gender) = 'Männlich' THEN 'inactive'
       ELSE 'active' END AS status
-FROM {people} WHERE email IS NOT NULL AND email <> '' AND date_added < DATE '1990-01-01'
+FROM {people} WHERE email IS NOT NULL AND email <> ''
 GROUP BY email
 UNION ALL
 SELECT 1000000000 + c_custkey AS receiver_id, concat('alt', CAST(c_custkey AS STRING), '@example.org') AS email,

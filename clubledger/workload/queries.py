@@ -27,6 +27,7 @@ from clubledger.operators.newsletter import (
     newsletter_rows,
     newsletter_text,
     payload_attributes,
+    receiver_json,
     receiver_payload,
 )
 from clubledger.operators.statistics import club_statistics
@@ -414,10 +415,65 @@ def lookup_not_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def group_matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide matrix as the names of its columns, with their sums."""
+    """The wide matrix, cell by cell as its rows have them."""
     wide = memberships.overlap_wide(group_matrix(spark, sf_dir))
-    names = [c for c in wide.columns if c != "riege"]
-    return wide.unpivot("riege", names, "other", "n").groupBy("other").agg(F.sum("n").alias("n"))
+    return wide.select("riege", F.inline("cells"))
+
+
+EXCLUDED = (3, 7, 32)
+
+
+@query
+def memberships_without_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bag = memberships.build_memberships(
+        people(spark, sf_dir), derived(spark, sf_dir, "organ_rows"),
+        organ_groups=ORGAN_GROUPS, excluded=EXCLUDED,
+    )
+    return memberships.roster_sizes(bag)
+
+
+@query
+def excluded_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memberships.dropped_rows(
+        people(spark, sf_dir), derived(spark, sf_dir, "organ_rows"), EXCLUDED
+    )
+
+
+@query
+def preschool_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memberships.preschool_conflicts(people(spark, sf_dir), derived(spark, sf_dir, "organ_rows"))
+
+
+@query
+def address_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.address_problems(people(spark, sf_dir))
+
+
+@query
+def saved_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    receivers = derived(spark, sf_dir, "receivers")
+    sleeping = sync.with_filter("sleeping", lambda day: sync.is_stale(day) & (F.col("status") != "active"))
+    return sync.receivers_filtered(receivers, "sleeping", AS_OF, sleeping)
+
+
+@query
+def failed_sync_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions that the mailing service, by what the snapshot says, did not confirm."""
+    receivers = derived(spark, sf_dir, "receivers")
+    answer = F.when(F.col("status") == "bounce", "failed").when(
+        F.col("updated").isNotNull(), F.when(F.col("step") == "push", "update success").otherwise("success")
+    )
+    steps = F.explode(F.array(F.lit("push"), F.lit("delete"))).alias("step")
+    results = receivers.select("email", "updated", "status", steps).select(
+        "email", "step", answer.alias("status")
+    )
+    log = sync.change_log(receivers, _incoming(spark, sf_dir), AS_OF)
+    return sync.failed_actions(log, results)
+
+
+@query
+def receiver_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return receiver_json(receiver_payload(newsletter(spark, sf_dir)))
 
 
 @query

@@ -88,14 +88,13 @@ def test_household_list(spark, seed, partitions):
 
 
 @pytest.mark.parametrize("seed", [3, 4, 5])
-@pytest.mark.parametrize("rows_per_task", [4, 1_000_000])
-def test_housemates(spark, seed, rows_per_task):
+def test_housemates(spark, seed):
     rows = random_people(seed)
     rnd = random.Random(seed)
     numbers = [r[2] for r in rows if r[2] is not None]
     texts = [", ".join(str(x) for x in [*rnd.sample(numbers, rnd.randint(1, 3)), 9999]) for _ in range(8)]
     people = table(spark, rows).repartition(5)
-    merged = households.combine_housemates(people, links_of(spark, texts), rows_per_task)
+    merged = households.combine_housemates(people, links_of(spark, texts))
     assert merged.count() == len(rows)
     assert printed(households.household_list(merged)) == expected_list(rows, texts)
 

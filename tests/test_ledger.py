@@ -1,5 +1,6 @@
 """From files to lists: load a small club and write everything."""
 
+import dataclasses
 import csv
 import datetime as dt
 import json
@@ -112,6 +113,27 @@ def test_newsletter_and_sync(spark, ledger):
     assert {r.email: r.status for r in after.collect()} == dict.fromkeys(rows, "active")
 
 
+def test_sync_reports_and_confirms(spark, ledger):
+    schema = "receiver_id bigint, email string, updated date, status string"
+    rows = [(1, "a@x", None, "inactive"), (2, "old@x", None, "active"), (3, "old@x", None, "active"), (4, None, None, "active")]
+    snapshot = spark.createDataFrame(rows, schema)
+    log, after = ledger.sync(snapshot)
+    actions = {tuple(r) for r in log.collect()}
+    assert {("old@x", "repeated address"), (None, "missing address")} <= actions
+    results = spark.createDataFrame(
+        [("a@x", "push", "update success"), ("d@x", "push", "invalid"), ("g@x", "push", "update success"), ("old@x", "delete", "success")],
+        "email string, step string, status string",
+    )
+    failed, confirmed = ledger.confirm(snapshot, log, after, results)
+    assert {tuple(r) for r in failed.collect()} == {("d@x", "insert", "invalid"), ("u@x", "insert", None), (None, "delete", None)}
+    assert {r.email for r in confirmed.collect()} == {"a@x", "g@x"}
+    strict = dataclasses.replace(ledger, strict=True)
+    with pytest.raises(DataQualityError):
+        strict.confirm(snapshot, log, after, results)
+    with pytest.raises(DataQualityError):
+        strict.sync(spark.createDataFrame([(1, "a@x", None, "asleep")], schema))
+
+
 def test_lists(ledger):
     def names(df):
         return sorted(r.Vorname for r in df.collect())
@@ -189,8 +211,10 @@ def test_exports(ledger, tmp_path):
     assert {r["updated"] for _, r in newsletter} == {"28.02.2024"}
     assembly = read_csv(ledger.export("assembly_lists", out, year=2015))
     assert ("list_name=jubilare_40", "Clara") in {(f, r["Vorname"]) for f, r in assembly}
-    matrix = read_csv(ledger.export("overlap", out))
-    assert {r["riege"]: r["Volleyball 2"] for _, r in matrix}["Volleyball 1"] == "1"
+    # One file cut into parts, with the groups as a header at its head.
+    parts = sorted(Path(ledger.export("overlap", out)).glob("part-*"))
+    matrix = list(csv.DictReader("".join(p.read_text() for p in parts).splitlines()))
+    assert {r["riege"]: r["Volleyball 2"] for r in matrix}["Volleyball 1"] == "1"
     assert len(read_csv(ledger.export("no_mail", out))) == 3
     assert len(read_csv(ledger.export("magazine_list", out))) == 5
     assert len(read_csv(ledger.export("joined_between", out, begin=None, end=None))) == 4

@@ -1,5 +1,8 @@
 """Group rows, rosters and the overlap matrix against nested loops."""
 
+import csv
+from pathlib import Path
+
 import random
 
 import pytest
@@ -9,6 +12,7 @@ from clubledger.constants import COACH_FUNCTIONS, ORGAN_GROUPS, YOUTH_GROUP_MARK
 from clubledger.operators import memberships, quality
 
 ORGANS = {"A": ["R1", "R2"], "B": ["Kids 1"], "K": ["Kitu"]}
+from clubledger.sinks import files
 
 
 def sample(spark, seed=1):
@@ -93,8 +97,31 @@ def test_overlap_matrix(spark, seed):
     assert expected[("R4", "R1")] == 0
     names = sorted({a for a, _ in expected})
     matrix = memberships.overlap_matrix(df)
-    wide = {r.riege: r.asDict() for r in memberships.overlap_wide(matrix).collect()}
-    assert {(a, b): wide[a][b] for a in names for b in names} == expected
+    wide = memberships.overlap_wide(matrix)
+    cells = {(r.riege, c.other): c.n for r in wide.collect() for c in r.cells}
+    assert cells == expected
+    lines = list(csv.reader(r.value for r in memberships.overlap_lines(wide).collect()), )
+    lines = [line[0].split(";") for line in lines]
+    assert lines[0] == ["riege", *names]
+    assert lines[1:] == [[a, *[str(expected[a, b]) for b in names]] for a in names]
+
+
+def test_matrix_of_many_groups(spark, tmp_path):
+    """A wide file of 1,500 groups, most of which share nobody."""
+    bag = spark.range(4500).select(
+        (F.col("id") % 3000).alias("person_id"),
+        F.format_string('R"%04d, x', F.col("id") % 1500).alias("riege"),
+        F.lit("member").alias("role"),
+    )
+    path = str(tmp_path / "wide")
+    files.write_matrix(memberships.overlap_wide(memberships.overlap_matrix(bag)), path)
+    parts = sorted(Path(path).glob("part-*"))
+    lines = list(csv.reader("".join(p.read_text() for p in parts).splitlines()))
+    names = [f'R"{i:04d}, x' for i in range(1500)]
+    assert lines[0] == ["riege", *names] and [x[0] for x in lines[1:]] == names
+    for i, line in enumerate(lines[1:]):
+        assert [j for j, n in enumerate(line[1:]) if n != "0"] == [i]
+        assert line[1 + i] == "3"
 
 
 def test_preschool_conflict(spark):

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clubledger.operators.components import connected_components
-from clubledger.operators.skew import hash_counts, heavy_rows, largest, list_join, patch_join, skew_join
+from clubledger.operators.skew import heavy_rows, skew_join
 
 
 def rows_of(df, *columns):
@@ -23,39 +23,51 @@ def hot(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("rows_per_task", [5, 1_000_000])
-def test_skew_join_equals_plain_join(spark, hot, how, rows_per_task):
+def test_skew_join_equals_plain_join(spark, hot, how):
     lookup = spark.range(0, 30).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
     columns = ["id", "key"] + (["value"] if how in ("inner", "left") else [])
-    balanced = skew_join(hot, lookup, "key", "id", how, rows_per_task=rows_per_task)
+    balanced = skew_join(hot, lookup, "key", how)
     plain = hot.join(lookup, "key", how)
     assert rows_of(balanced, *columns) == rows_of(plain, *columns)
-    for limit in (1000, 3):
-        listed = list_join(hot, lookup, "key", "id", how, rows_per_task, limit)
-        assert rows_of(listed, *columns) == rows_of(plain, *columns)
 
 
-def test_patch_join(spark):
-    rows = spark.range(100).select(F.col("id").alias("key"))
-    patch = spark.range(0, 100, 7).select(F.col("id").alias("key"), F.lit("x").alias("value"))
-    for limit in (1000, 3):
-        for how in ("left", "inner"):
-            found = patch_join(rows, patch, "key", how, limit)
-            assert rows_of(found, "key", "value") == rows_of(rows.join(patch, "key", how), "key", "value")
-
-
-def test_hot_key_is_split(hot):
-    hashes = {r.h: r.key for r in hot.select("key", F.xxhash64("key").alias("h")).collect()}
-    counts = hash_counts(hot, "key")
-    assert {hashes[r.key_hash]: r.n for r in heavy_rows(counts, 50).collect()} == {7: 205, None: 200}
-    assert largest(counts) == 205
-    assert largest(counts.where("false")) == 0
-
-
-@pytest.mark.parametrize("rows_per_task", [5, 1_000_000])
-def test_keys_of_different_integer_types_match(spark, hot, rows_per_task):
+def test_heavy_keys_are_few(hot):
+    counts = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    assert {r.key: r.n for r in heavy_rows(counts, 50).collect()} == {7: 205, None: 200}
+    assert heavy_rows(counts.where("false"), 50).collect() == []
+
+
+def test_spark_splits_a_hot_key(spark, tmp_path):
+    """The lookup is grouped by the key just before: the join has its own shuffle of
+    both sides all the same, and Spark splits the hot partition of it."""
+    key = F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 1000)
+    text = F.sha2(F.col("id").cast("string"), 512).alias("text")
+    spark.range(200_000, numPartitions=8).select(key.alias("key"), text).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    lookup = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        joined = skew_join(rows, lookup, "key", "inner")
+        assert joined.agg(F.count(F.lit(1))).first()[0] == 200_000
+        joined.write.mode("overwrite").format("noop").save()
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    assert "skew=true" in plan
+
+
+def test_keys_of_different_integer_types_match(spark, hot):
     lookup = spark.range(0, 30).select(F.col("id").cast("int").alias("key"), F.col("id").alias("value"))
-    found = skew_join(hot, lookup, "key", "id", "inner", rows_per_task=rows_per_task)
+    found = skew_join(hot, lookup, "key", "inner")
     assert found.count() == hot.join(lookup, "key").count() > 200
 
 
@@ -64,7 +76,7 @@ def test_struct_keys_match_with_missing_parts(spark):
     right = spark.createDataFrame([("a", None, 10), (None, None, 20)], "a string, b string, v int")
     keyed_left = left.select("id", F.struct("a", "b").alias("key"))
     keyed_right = right.select(F.struct("a", "b").alias("key"), "v")
-    assert rows_of(skew_join(keyed_left, keyed_right, "key", "id", "inner"), "id", "v") == [(1, 10), (2, 20)]
+    assert rows_of(skew_join(keyed_left, keyed_right, "key", "inner"), "id", "v") == [(1, 10), (2, 20)]
 
 
 def union_find(edges):
@@ -82,9 +94,9 @@ def union_find(edges):
     return {x: root(x) for x in parent}
 
 
-def components_of(spark, edges, rows_per_task=1_000_000):
+def components_of(spark, edges, report=None):
     table = spark.createDataFrame(edges, "a bigint, b bigint")
-    found = connected_components(table, rows_per_task).collect()
+    found = connected_components(table, report).collect()
     assert len(found) == len({r.node for r in found})
     return {r.node: r.component for r in found}
 
@@ -98,9 +110,19 @@ def components_of(spark, edges, rows_per_task=1_000_000):
         [(i, 50 - i) for i in range(25)] + [(i, i + 7) for i in range(0, 40, 9)],
     ],
 )
-@pytest.mark.parametrize("rows_per_task", [3, 1_000_000])
-def test_components(spark, edges, rows_per_task):
-    assert components_of(spark, edges, rows_per_task) == union_find(edges)
+def test_components(spark, edges):
+    assert components_of(spark, edges) == union_find(edges)
+
+
+def test_nodes_leave_and_edges_become_fewer(spark):
+    edges = [(i, i + 1) for i in range(3000)] + [(5000, 5000 + i) for i in range(1, 500)]
+    told = []
+    found = components_of(spark, edges, lambda n_edges, n_gone: told.append((n_edges, n_gone)))
+    print("edges left and nodes gone by round:", told)
+    assert found == union_find(edges)
+    left = [2 * len(edges), *[n for n, _ in told]]
+    assert all(b < 0.8 * a for a, b in zip(left, left[1:], strict=False)) and left[-1] == 0
+    assert sum(gone for _, gone in told) == len(found) - 2  # all but the two roots
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

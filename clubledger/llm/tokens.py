@@ -24,7 +24,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 #: Stretches remembered by one worker, and characters of them; twice as many while the
 #: older half ages.
-REMEMBERED, REMEMBERED_CHARACTERS = 80_000, 4 << 20
+REMEMBERED, REMEMBERED_CHARACTERS = 300_000, 32 << 20
 #: Stretches given to the library at once.
 AT_ONCE = 20_000
 

@@ -9,9 +9,11 @@ the next annulus is farther than the k-th best found so far.
 
 The first search of a query, in one shard of its own pivot, gives a bound; with it
 the query goes to those pivots only whose annuli reach into the bound. A shard is a
-pivot's vectors or, where it has many, a part of them chosen by a hash, and queries
-come in blocks, so every task has a bounded number of both. Pivots are fitted to a
-bounded sample; every vector is indexed, and results are exact whatever the pivots.
+pivot's vectors or, where it has many, a part of them chosen by a hash. Partitions are
+sorted so that a shard's vectors come before its queries; a task holds one shard and a
+batch of queries. The rows of a shard travel once for every million queries that visit
+it, and not at all without one. Pivots are fitted to a bounded sample; every vector is
+indexed, and results are exact whatever the pivots.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from clubledger.llm.common import hashed_share
 from clubledger.session import write_through
 
 SAMPLE_ROWS, MOST_PIVOTS = 2048, 64
-#: Vectors of a shard, queries of a block, vectors of an annulus.
-SHARD_ROWS, BLOCK_QUERIES, ANNULUS_ROWS = 16384, 4096, 256
+#: Vectors of a shard, queries that a copy of it serves, vectors of an annulus.
+SHARD_ROWS, BLOCK_QUERIES, ANNULUS_ROWS = 16384, 1 << 20, 256
+KEY = ["pivot", "part", "block"]
 #: Relative slack that keeps rounding from cutting off a tie.
 SLACK = 1e-9
 
@@ -107,23 +110,32 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
+class Shard:
+    """A shard's vectors in order of distance to the pivot, and their annuli."""
+
+    def __init__(self, rows: pd.DataFrame, width: int):
+        rows = rows.sort_values(["distance", "id"])
+        self.pivot = int(rows["pivot"].iloc[0])
+        self.vectors, self.ids = _matrix(rows["vector"], width), rows["id"].to_numpy()
+        away = rows["distance"].to_numpy()
+        self.starts = np.arange(0, len(rows), ANNULUS_ROWS)
+        self.low = away[self.starts]
+        self.high = away[np.minimum(self.starts + ANNULUS_ROWS, len(rows)) - 1]
+
+
 def search_shard(
-    rows: pd.DataFrame, queries: pd.DataFrame, sphere: Sphere, width: int, k: int, exact: bool
+    shard: Shard, queries: pd.DataFrame, sphere: Sphere, width: int, k: int, exact: bool
 ) -> pd.DataFrame:
     """The best ``k`` of one shard for each query, as far as they reach its bound.
 
     Annuli are runs of the shard's vectors in order of distance to the pivot. Every
     query takes them from the nearest outward and leaves when its bound ends.
     """
-    rows = rows.sort_values(["distance", "vec_id"])
-    vectors, ids = _matrix(rows["vector"], width), rows["vec_id"].to_numpy()
-    asked, own = _matrix(queries["vector"], width), queries["query_id"].to_numpy()
+    vectors, ids, starts, low, high = shard.vectors, shard.ids, shard.starts, shard.low, shard.high
+    asked, own = _matrix(queries["vector"], width), queries["id"].to_numpy()
     norms = np.linalg.norm(asked, axis=1)
     bound = queries["bound"].to_numpy(dtype=float)
-    starts = np.arange(0, len(ids), ANNULUS_ROWS)
-    away = rows["distance"].to_numpy()
-    low, high = away[starts], away[np.minimum(starts + ANNULUS_ROWS, len(ids)) - 1]
-    at = sphere.query_distances(asked)[:, int(rows["pivot"].iloc[0])][:, None]
+    at = sphere.query_distances(asked)[:, shard.pivot][:, None]
     gaps = np.maximum(0.0, np.maximum(low - at, at - high))
     order = np.argsort(gaps, axis=1, kind="stable")
     kind = float if exact else object
@@ -166,6 +178,33 @@ def search_shard(
     )
 
 
+def _runs(batch: pd.DataFrame):
+    """A sorted batch in pieces of one shard, block and kind each."""
+    keys = batch[[*KEY, "is_query"]].to_numpy()
+    cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+    edges = [0, *cuts.tolist(), len(batch)]
+    for start, end in zip(edges, edges[1:], strict=False):
+        if end > start:
+            yield tuple(keys[start][:-1]), bool(keys[start][-1]), batch.iloc[start:end]
+
+
+def search_sorted(batches, sphere: Sphere, width: int, k: int, exact: bool):
+    """Search a partition in which the vectors of every shard come just before the
+    queries of it: one shard is held at a time, and of its queries one batch."""
+    current, rows, shard = None, [], None
+    for batch in batches:
+        for key, is_query, piece in _runs(batch):
+            if key != current:
+                current, rows, shard = key, [], None
+            if not is_query:
+                rows.append(piece)
+                continue
+            if shard is None and rows:
+                shard, rows = Shard(pd.concat(rows), width), []
+            if shard is not None:
+                yield search_shard(shard, piece, sphere, width, k, exact)
+
+
 def top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -229,28 +268,42 @@ def top_k(
         .agg(F.min(F.struct("vector", "pivot")).alias("q"))
         .select("query_id", "q.vector", "q.pivot")
     )
-    blocks = max(1, -(-index.where(is_query).count() // block_queries))
-    block = F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(blocks)).cast("int")
-    queries = queries.withColumn("block", block)
-    spread = shards.withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    key = ["pivot", "part", "block"]
     result = "query_id bigint, vec_id bigint, score bigint"
 
-    def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        return search_shard(rows, queries, sphere.value, width, k, exact)
-
-    def searched(asked: DataFrame) -> DataFrame:
-        groups = asked.groupBy(*key).cogroup(spread.groupBy(*key))
-        return groups.applyInPandas(search, result)
+    def searched(asked: DataFrame, visits: dict[int, int], rows: DataFrame) -> DataFrame:
+        """``asked(pivot, part, query_id, vector, bound)`` against the index rows of those
+        shards. ``visits`` are the queries of a shard of each pivot: so many blocks of
+        queries there are, and so often its rows are repeated, once as a rule."""
+        blocks = {p: -(-n // block_queries) for p, n in visits.items() if n}
+        if not blocks:
+            return spark.createDataFrame([], result)
+        n_blocks = F.element_at(
+            F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("pivot")
+        )
+        block = F.pmod(F.xxhash64(F.lit("block"), "query_id"), n_blocks).cast("int")
+        met = rows.where(F.col("pivot").isin(list(blocks))).select(
+            "pivot", "part", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"),
+            F.lit(False).alias("is_query"), F.col("vec_id").alias("id"), "vector", "distance",
+            F.lit(None).cast("double").alias("bound"),
+        )
+        asking = asked.select(
+            "pivot", "part", block.alias("block"), F.lit(True).alias("is_query"),
+            F.col("query_id").alias("id"), "vector", F.lit(None).cast("double").alias("distance"), "bound",
+        )
+        # A number of its own: the work is in the meetings, not in the bytes by which
+        # Spark would merge partitions.
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        streams = met.unionByName(asking).repartition(n, *KEY).sortWithinPartitions(*KEY, "is_query")
+        return streams.mapInPandas(
+            lambda batches: search_sorted(batches, sphere.value, width, k, exact), result
+        )
 
     # First the shard around each query, for a bound.
     home = queries.withColumn("part", F.lit(0)).withColumn("bound", F.lit(float("-inf")))
+    # One row per pivot here and below.
+    at_home = {r["pivot"]: r["n"] for r in queries.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    near = write_through(searched(home), "near")
+    near = write_through(searched(home, at_home, shards.where("part = 0")), "near")
     bounds = near.groupBy("query_id").agg(
         F.min("score").cast("double").alias("bound"), F.count(F.lit(1)).alias("n")
     ).where(F.col("n") >= k)
@@ -258,30 +311,36 @@ def top_k(
         float("-inf"), subset=["bound"]
     )
 
+    def reached(batch: pd.DataFrame) -> np.ndarray:
+        """For each query of a batch, the pivots whose annuli reach into its bound."""
+        low, high = shells["low"].to_numpy(), shells["high"].to_numpy()
+        asked = _matrix(batch["vector"], width)
+        at = sphere.value.query_distances(asked)[:, shells["pivot"].to_numpy()]
+        gaps = np.maximum(0.0, np.maximum(low - at, at - high))
+        bound = batch["bound"].to_numpy(dtype=float)
+        return gaps <= sphere.value.radius(np.linalg.norm(asked, axis=1), bound)[:, None]
+
+    def count_visits(batches):
+        for batch in batches:
+            yield pd.DataFrame({"pivot": shells["pivot"], "n": reached(batch).sum(axis=0)})
+
     def reach(batches):
         """Each query once for every other shard whose annuli reach into its bound."""
-        low, high = shells["low"].to_numpy(), shells["high"].to_numpy()
         numbers, n_parts = shells["pivot"].to_numpy(), shells["parts"].to_numpy()
         for batch in batches:
-            asked = _matrix(batch["vector"], width)
-            at = sphere.value.query_distances(asked)[:, numbers]
-            gaps = np.maximum(0.0, np.maximum(low - at, at - high))
-            limit = sphere.value.radius(
-                np.linalg.norm(asked, axis=1), batch["bound"].to_numpy(dtype=float)
-            )
-            q, p = np.nonzero(gaps <= limit[:, None])
+            q, p = np.nonzero(reached(batch))
             times = n_parts[p]
             q, p = np.repeat(q, times), np.repeat(p, times)
             number = np.concatenate([np.arange(t) for t in times] or [np.empty(0, int)])
-            out = batch.iloc[q][["query_id", "vector", "bound", "block"]].copy()
+            out = batch.iloc[q][["query_id", "vector", "bound"]].copy()
             out["home"] = batch["pivot"].to_numpy()[q]
             out["pivot"], out["part"] = numbers[p].astype("int32"), number.astype("int32")
             yield out[(out["home"] != out["pivot"]) | (out["part"] != 0)].drop(columns="home")
 
-    wide = (
-        "query_id bigint, vector array<double>, bound double, block int, pivot int, part int"
-    )
-    far = searched(bounded.mapInPandas(reach, wide))
+    counted = bounded.select("vector", "bound").mapInPandas(count_visits, "pivot int, n bigint")
+    visits = {r["pivot"]: r["n"] for r in counted.groupBy("pivot").agg(F.sum("n").alias("n")).collect()}
+    wide = "query_id bigint, vector array<double>, bound double, pivot int, part int"
+    far = searched(bounded.mapInPandas(reach, wide), visits, shards)
     return (
         near.unionByName(far)
         .withColumn("rank", F.row_number().over(ranked))

@@ -15,7 +15,7 @@ NEVER = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "Arro
 #: What else a query may have in its last plan: the search of op1 in pandas and its
 #: ranking, Arrow where the operator is one of bytes, running sums in op7.
 ALLOWED = {
-    "op1_exact_top_k": {"CoGroupsInPandas", "MapInPandas", "Window"},
+    "op1_exact_top_k": {"MapInPandas", "Window"},
     "op4_packing": {"MapInArrow"},
     "op6_toxicity": {"MapInArrow"},
     "op7_token_files": {"MapInArrow", "Window"},

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -174,3 +175,32 @@ def test_search_leaves_far_annuli_out():
     high = np.array([distances[distances.argmin(axis=1) == p, p].max() for p in range(4)])
     gaps = np.maximum(0, np.maximum(low - at, at - high))
     assert (gaps <= reach[0]).sum() < 4
+
+
+def test_search_of_sorted_batches_holds_one_shard_at_a_time():
+    rng = np.random.default_rng(1)
+    vectors = np.floor(rng.normal(size=(90, 5)) * 20)
+    sphere = topk_pivots.Sphere((vectors**2).sum(axis=1).max(), vectors[:3])
+    distances = sphere.distances(vectors)
+    pivot = distances.argmin(axis=1)
+    rows = pd.DataFrame({
+        "pivot": pivot, "part": 0, "block": 0, "is_query": False, "id": np.arange(90),
+        "vector": list(vectors), "distance": distances.min(axis=1), "bound": np.nan,
+    })
+    asked = pd.concat([
+        rows.iloc[::7].assign(pivot=p, is_query=True, distance=np.nan, bound=-np.inf) for p in range(3)
+    ])
+    # Nobody asks shard (9, 0, 0), and (9, 1, 0) is asked but has no vectors.
+    idle = rows.iloc[:3].assign(pivot=9)
+    vain = asked.iloc[:2].assign(pivot=9, part=1)
+    stream = pd.concat([rows, asked, idle, vain]).sort_values([*topk_pivots.KEY, "is_query"])
+    for size in (1, 4, 1000):
+        batches = [stream.iloc[i : i + size] for i in range(0, len(stream), size)]
+        out = pd.concat(topk_pivots.search_sorted(iter(batches), sphere, 5, 6, True))
+        best = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        best = best.groupby("query_id").head(6)
+        for q in range(0, 90, 7):
+            scores = vectors @ vectors[q]
+            expected = sorted((-scores[j], j) for j in range(90) if j != q)[:6]
+            mine = best[best["query_id"] == q]
+            assert list(zip(-mine["score"], mine["vec_id"])) == expected

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clubledger.functions.people import person_label, street_key
 from clubledger.operators.components import connected_components
 from clubledger.operators.families import families_with_value, family_sizes
+from clubledger.operators.order import with_position
 from clubledger.operators.skew import skew_join
 from clubledger.session import write_through
 
@@ -103,6 +104,13 @@ def sorted_household_list(rows: DataFrame) -> DataFrame:
     return rows.orderBy(*[F.asc_nulls_last(k) for k in ("PLZ", "Ort", "Strasse", "Name")])
 
 
+def printed_household_list(rows: DataFrame) -> DataFrame:
+    """The list in printing order with every row's ``position`` in it, from 1. Where all
+    that it is sorted by is equal, the people decide."""
+    keys = ("PLZ", "Ort", "Strasse", "Name", "Personen")
+    return with_position(rows, *[F.asc_nulls_last(k) for k in keys])
+
+
 def combine_housemates(people: DataFrame, links: DataFrame) -> DataFrame:
     """Merge the households that a housemate list names together.
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clubledger.constants import DELETE_OK, RECEIVER_TYPES, UPSERT_OK
 from clubledger.operators.quality import failed_results, require_none
+from clubledger.session import new_table_path, write_through
 
 
 def is_stale(as_of: dt.date) -> Column:
@@ -69,14 +71,9 @@ def address_problems(rows: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
-def merged(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFrame:
-    """Snapshot and incoming receivers side by side, with what happens to each.
-
-    One full join on the address, unique on both sides. The flags are the steps
-    of the sync in order: push, delete what the push left stale, activate. Where
-    either side has attributes, a pushed receiver has those of both, the incoming
-    value where they differ; a receiver that is not pushed keeps its own.
-    """
+def _sides(receivers: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """What a merge needs of the snapshot and of the push, and whether either has
+    attributes."""
     with_attributes = ATTRIBUTES in [*receivers.columns, *incoming.columns]
 
     def attributes(rows: DataFrame, name: str) -> list[Column]:
@@ -89,7 +86,11 @@ def merged(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFra
         "email", "receiver_id", "updated", "status", F.lit(True).alias("_known"),
         *attributes(receivers, "_old"),
     )
-    both = known.join(push, "email", "full")
+    return known, push, with_attributes
+
+
+def _decided(both: DataFrame, as_of: dt.date, with_attributes: bool) -> DataFrame:
+    """Joined rows with what happens to each."""
     pushed, is_known = F.col("_pushed").isNotNull(), F.col("_known").isNotNull()
     deleted = ~pushed & is_stale(as_of)
     empty = F.create_map().cast("map<string,string>")
@@ -111,6 +112,55 @@ def merged(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFra
     )
 
 
+def merged(receivers: DataFrame, incoming: DataFrame, as_of: dt.date) -> DataFrame:
+    """Snapshot and incoming receivers side by side, with what happens to each.
+
+    One full join on the address, unique on both sides. The flags are the steps
+    of the sync in order: push, delete what the push left stale, activate. Where
+    either side has attributes, a pushed receiver has those of both, the incoming
+    value where they differ; a receiver that is not pushed keeps its own.
+    """
+    known, push, with_attributes = _sides(receivers, incoming)
+    return _decided(known.join(push, "email", "full"), as_of, with_attributes)
+
+
+@dataclass(frozen=True)
+class StoredSnapshot:
+    """A snapshot kept between syncs: a table bucketed by address, and beside it the
+    receivers without one, which no push can meet."""
+
+    addressed: DataFrame
+    unaddressed: DataFrame
+
+    def receivers(self) -> DataFrame:
+        return self.addressed.unionByName(self.unaddressed)
+
+
+def store_snapshot(receivers: DataFrame, name: str, buckets: int | None = None) -> StoredSnapshot:
+    """Write a snapshot as table ``name`` of the catalog, its files in the shared folder.
+
+    A join by address deals out the push alone, to the buckets; the snapshot, usually
+    the far larger side, stays where it is. For that there have to be at least as many
+    buckets as shuffle partitions, which is the number without one of its own."""
+    spark = receivers.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out as the buckets are, so that every bucket is one file.
+    rows = receivers.where(F.col("email").isNotNull()).repartition(n, "email")
+    writer = rows.write.bucketBy(n, "email").sortBy("email").format("parquet")
+    writer.option("path", new_table_path(spark, name)).saveAsTable(name)
+    rest = write_through(receivers.where(F.col("email").isNull()), f"{name}-unaddressed")
+    return StoredSnapshot(spark.table(name), rest)
+
+
+def merged_stored(stored: StoredSnapshot, incoming: DataFrame, as_of: dt.date) -> DataFrame:
+    """``merged`` over a stored snapshot, without a shuffle of it."""
+    known, push, with_attributes = _sides(stored.addressed, incoming)
+    both = known.join(push.hint("shuffle_merge"), "email", "full")
+    alone, _, _ = _sides(stored.unaddressed, incoming)
+    both = both.unionByName(alone, allowMissingColumns=True)
+    return _decided(both, as_of, with_attributes)
+
+
 def log_of(rows: DataFrame) -> DataFrame:
     """``(email, action)`` of merged rows; one address may have two actions."""
     actions = {"insert": "inserted", "update": "refreshed", "delete": "deleted", "activate": "activated"}

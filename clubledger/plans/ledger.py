@@ -24,17 +24,20 @@ from clubledger.operators.newsletter import (
 )
 from clubledger.operators.statistics import club_statistics, statistics_text
 from clubledger.operators.sync import (
+    StoredSnapshot,
     address_problems,
     confirmed_snapshot,
     failed_actions,
     log_of,
     merged,
+    merged_stored,
     problem_log,
     snapshot_of,
 )
 from clubledger.plans.main_people import main_people
-from clubledger.session import write_through
+from clubledger.session import new_table_path, write_through
 from clubledger.sinks import files
+from clubledger.sinks.stored import store_people
 from clubledger.sources import exports
 
 
@@ -119,15 +122,19 @@ class Ledger:
         return address_list(self.lost)
 
     # -- synchronisation -------------------------------------------------------
-    def sync(self, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def sync(self, snapshot: DataFrame | StoredSnapshot) -> tuple[DataFrame, DataFrame]:
         """Change log and new snapshot of the mailing service, attributes included.
+        A stored snapshot is merged without a shuffle of it.
 
         Both come from one merged table, which is written once and checked by that
         write. Addresses of the snapshot that are missing or repeated are in the log;
         with ``strict``, they and statuses that nobody knows are errors, and nothing
         is published.
         """
-        address_problems(snapshot, self.strict)
+        stored = isinstance(snapshot, StoredSnapshot)
+        whole = snapshot.receivers() if stored else snapshot
+        merge = merged_stored if stored else merged
+        address_problems(whole, self.strict)
         incoming = self.receivers().select("email", "global_attributes")
         known = F.col("status").isin(*STATUSES)
         checks = {
@@ -135,9 +142,9 @@ class Ledger:
             "unknown_status": F.col("status").isNull() | ~known,
         }
         rows, _ = quality.audited_write(
-            merged(snapshot, incoming, self.as_of), "sync", checks, self.strict
+            merge(snapshot, incoming, self.as_of), "sync", checks, self.strict
         )
-        return log_of(rows).unionByName(problem_log(snapshot)), snapshot_of(rows)
+        return log_of(rows).unionByName(problem_log(whole)), snapshot_of(rows)
 
     def confirm(
         self, snapshot: DataFrame, log: DataFrame, after: DataFrame, results: DataFrame
@@ -194,11 +201,13 @@ def load_ledger(
     housemates: str | None = None,
     strict: bool = False,
     multi_line: bool = True,
+    clustered: bool = False,
 ) -> Ledger:
     """Read all files of a club and prepare the people every list starts from.
 
     The prepared people are written once to the shared folder, since every list
-    reads them.
+    reads them; ``clustered`` for many lookups by date, number or address, which costs
+    a shuffle of them once.
     """
     def read(path: str, source: int) -> DataFrame:
         return exports.read_people(spark, path, as_of, source=source, multi_line=multi_line)
@@ -211,9 +220,11 @@ def load_ledger(
     # Extra recipients are numbered below zero, apart from the members.
     extras = side_list(extra).withColumn("person_id", -1 - F.monotonically_increasing_id())
     references = side_list(backup).withColumn("ref_pos", F.col("pos"))
-    people = write_through(
-        main_people(own, side_list(removed).select("email"), extras.select(*own.columns)), "people"
-    )
+    prepared = main_people(own, side_list(removed).select("email"), extras.select(*own.columns))
+    if clustered:
+        people = store_people(prepared, new_table_path(spark, "people"))
+    else:
+        people = write_through(prepared, "people")
     if strict:
         empty_references(own, references.where(F.col("email").isNotNull()), ["email"], strict)
     return Ledger(

@@ -474,3 +474,20 @@ SQL["stale_receiver_stats"] = _with(
     ["people", "receivers"], f"{_STATS} WHERE updated IS DISTINCT FROM {AS_OF}"
 )
 SQL["excluded_memberships"] = SQL["dropped_memberships"].replace("(317492, 871369)", "(3, 7, 32)")
+SQL["household_list_printed"] = f"""SELECT row_number() OVER (ORDER BY PLZ NULLS LAST, Ort NULLS LAST,
+ Strasse NULLS LAST, Name NULLS LAST, Personen NULLS LAST) AS position, * FROM ({SQL['household_list']}) listed"""
+SQL["stored_adults_joined"] = SQL["adults_joined"]
+SQL["stored_lookup_number"] = _with(
+    ["people"],
+    "SELECT person_id, member_number, first_name, last_name FROM people WHERE member_number = 7",
+)
+_SOME_GONE = MERGED.replace(
+    "FROM receivers r FULL JOIN",
+    "FROM (SELECT * REPLACE (CASE WHEN status <> 'bounce' THEN email END AS email) FROM receivers) r FULL JOIN",
+)
+SQL["sync_stored"] = _with(
+    SYNC_INPUTS,
+    f"""{_SOME_GONE}
+SELECT receiver_id, email, updated, CASE WHEN status = 'inactive' THEN 'active' ELSE status END AS status
+FROM pushed WHERE updated = {AS_OF}""",
+)

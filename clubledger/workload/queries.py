@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ from clubledger.operators.newsletter import (
 from clubledger.operators.statistics import club_statistics
 from clubledger.operators.unsubscribe import unsubscribe
 from clubledger.plans.main_people import main_people
+from clubledger.session import new_table_path
+from clubledger.sinks.stored import store_people
 from clubledger.sources.exports import housemate_links, people_from_export
 from clubledger.workload.inputs import (
     AS_OF,
@@ -510,3 +513,35 @@ def stale_receiver_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         sync.receivers_filtered(derived(spark, sf_dir, "receivers"), "stale", AS_OF)
     )
 
+
+# -- written on the way ----------------------------------------------------------
+@query
+def household_list_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recipients = filters.magazine_recipients(people(spark, sf_dir))
+    return households.printed_household_list(households.household_list(recipients))
+
+
+def _stored_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_people(people(spark, sf_dir), new_table_path(spark, "stored-people"))
+
+
+@query
+def stored_adults_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin, end = dt.date(1986, 1, 1), dt.date(1987, 1, 1)
+    return address_list(filters.adults_joined_between(_stored_people(spark, sf_dir), begin, end))
+
+
+@query
+def stored_lookup_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filters.lookup(_stored_people(spark, sf_dir), "member_number", 7)
+    return found.select("person_id", "member_number", "first_name", "last_name")
+
+
+@query
+def sync_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot after a sync of a stored one, in which some addresses are missing."""
+    receivers = derived(spark, sf_dir, "receivers")
+    gone = F.col("status") == "bounce"
+    receivers = receivers.withColumn("email", F.when(~gone, F.col("email")))
+    stored = sync.store_snapshot(receivers, f"receivers_{uuid.uuid4().hex}")
+    return sync.snapshot_of(sync.merged_stored(stored, _incoming(spark, sf_dir), AS_OF))

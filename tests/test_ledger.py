@@ -4,6 +4,7 @@ import dataclasses
 import csv
 import datetime as dt
 import json
+import uuid
 from pathlib import Path
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clubledger.__main__ import parse, run
 from clubledger.operators.quality import DataQualityError
+from clubledger.operators.sync import store_snapshot
 from clubledger.plans.ledger import load_ledger
 from clubledger.sinks.files import write_list
 from clubledger.sources.exports import read_group_rows, read_housemates, read_table
@@ -134,6 +136,18 @@ def test_sync_reports_and_confirms(spark, ledger):
         strict.sync(spark.createDataFrame([(1, "a@x", None, "asleep")], schema))
 
 
+def test_sync_of_a_stored_snapshot_and_clustered_people(spark, club, ledger):
+    schema = "receiver_id bigint, email string, updated date, status string"
+    rows = [(1, "a@x", None, "inactive"), (2, "old@x", None, "active"), (4, None, None, "active")]
+    snapshot = spark.createDataFrame(rows, schema)
+    log, after = ledger.sync(snapshot)
+    clustered = load_ledger(spark, as_of=AS_OF, clustered=True, **club)
+    log2, after2 = clustered.sync(store_snapshot(snapshot, f"mailing_{uuid.uuid4().hex}"))
+    assert sorted(map(str, log.collect())) == sorted(map(str, log2.collect()))
+    assert sorted(map(str, after.collect())) == sorted(map(str, after2.collect()))
+    assert sorted(map(str, ledger.no_mail().collect())) == sorted(map(str, clustered.no_mail().collect()))
+
+
 def test_lists(ledger):
     def names(df):
         return sorted(r.Vorname for r in df.collect())

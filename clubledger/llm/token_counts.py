@@ -6,10 +6,16 @@ below ``rollups``. Totals are sums of rollups, so bringing them up to date reads
 rows per batch and never the documents again. A batch counts from the moment its rollup
 is complete; before that a repeated commit replaces what a failed one left, after that
 it changes nothing.
+
+Deltas lie in buckets by a hash of the document's id, sorted by id, so that a commit
+reads of the history the buckets and the range of ids that it touches. After a number
+of batches their deltas are summed up, below ``states``, and later commits read the
+sums and the deltas since.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -23,6 +29,9 @@ from clubledger.session import write_through
 
 GROUP = ["source", "lang", "tokenizer"]
 DELTA = "doc_id {0}, source string, lang string, tokenizer string, documents bigint, tokens bigint"
+#: Buckets of a new ledger, and the bucket of what has no id; batches between two states.
+BUCKETS, WITHOUT_ID = 64, -1
+STATE_EVERY = 16
 
 
 def count_tokens(
@@ -64,49 +73,142 @@ def count_tokens(
 
 
 class TokenLedger:
-    """Token counts below ``path``, a folder that all executors share."""
+    """Token counts below ``path``, a folder that all executors share.
+
+    ``buckets`` holds for a new ledger; one that has batches keeps its number."""
 
-    def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint"):
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        id_type: str = "bigint",
+        buckets: int = BUCKETS,
+        state_every: int = STATE_EVERY,
+    ):
         importable_by_workers(spark)
-        self.spark, self.path = spark, path.rstrip("/")
-        self.delta_schema = DELTA.format(id_type)
-        self.rollup_schema = DELTA.format(id_type).split(", ", 1)[1]
+        self.spark, self.path, self.id_type = spark, path.rstrip("/"), id_type
+        self.rows_schema = DELTA.format(id_type)
+        self.delta_schema = f"{self.rows_schema}, bucket int"
+        self.rollup_schema = self.rows_schema.split(", ", 1)[1]
+        self.buckets, self.state_every = self._layout(buckets), state_every
 
     def _folder(self, path: str):
         made = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         return made, made.getFileSystem(conf)
 
-    def batches(self) -> list[str]:
-        """The committed batches, by name."""
-        folder, store = self._folder(f"{self.path}/rollups")
+    def _names(self, path: str) -> list[str]:
+        folder, store = self._folder(path)
         if not store.exists(folder):
             return []
-        names = [s.getPath().getName() for s in store.listStatus(folder)]
-        return sorted(n for n in names if self.is_committed(n))
+        return sorted(s.getPath().getName() for s in store.listStatus(folder))
+
+    def _layout(self, buckets: int) -> int:
+        """The number of buckets, which a folder's name keeps."""
+        if buckets < 1:
+            raise ValueError(f"not a number of buckets: {buckets}")
+        kept = self._names(f"{self.path}/layout")
+        if kept:
+            return int(kept[0])
+        folder, store = self._folder(f"{self.path}/layout/{buckets}")
+        store.mkdirs(folder)
+        return buckets
+
+    def batches(self) -> list[str]:
+        """The committed batches, by name."""
+        return [n for n in self._names(f"{self.path}/rollups") if self.is_committed(n)]
 
     def is_committed(self, batch: str) -> bool:
         done, store = self._folder(f"{self.path}/rollups/{batch}/_SUCCESS")
         return store.exists(done)
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{b}" for b in self.batches()]
+    def _states(self) -> list[str]:
+        """The complete states, oldest first: their names are numbers of batches."""
+        names = self._names(f"{self.path}/states")
+        return [n for n in names if "_SUCCESS" in self._names(f"{self.path}/states/{n}/covers")]
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def _history(self) -> DataFrame:
+        """The newest state and the deltas of the batches that it does not cover."""
+        batches, states = self.batches(), self._states()
+        covered: set[str] = set()
+        rows = []
+        if states:
+            at = f"{self.path}/states/{states[-1]}"
+            covered = {r["batch"] for r in self._read([f"{at}/covers"], "batch string").collect()}
+            rows.append(self._read([f"{at}/documents"], self.delta_schema))
+        since = [f"{self.path}/deltas/{b}" for b in batches if b not in covered]
+        rows += [self._read([at], self.delta_schema) for at in since]
+        return functools.reduce(DataFrame.unionByName, rows or [self._read([], self.delta_schema)])
+
+    def _write_buckets(self, rows: DataFrame, path: str) -> None:
+        """Rows by bucket and id. Tasks that would get too much are split, small
+        ones merged."""
+        by_id = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+        bucket = F.when(F.col("doc_id").isNull(), WITHOUT_ID).otherwise(by_id)
+        dealt = rows.withColumn("bucket", bucket).hint("rebalance", F.col("bucket"))
+        ordered = dealt.sortWithinPartitions("bucket", "doc_id")
+        # All that a failed attempt left goes, whatever the session says.
+        writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.partitionBy("bucket").parquet(path)
+
     def documents(self) -> DataFrame:
         """What each document counts now: ``(doc_id, source, lang, tokenizer,
         documents, tokens)``. Documents without an id are counted together."""
-        rows = self._read("deltas", self.delta_schema)
+        return self._sums(self._history())
+
+    @staticmethod
+    def _sums(rows: DataFrame) -> DataFrame:
         sums = rows.groupBy("doc_id", *GROUP).agg(
             F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")
         )
         return sums.where("documents <> 0 OR tokens <> 0")
 
+    def _counted(self, touched: DataFrame) -> DataFrame:
+        """What the documents ``touched`` (``doc_id``, ``_t``: tokenizer) count now,
+        from the buckets and the range of ids that hold them."""
+        by_id = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+        # One row per bucket, at most.
+        spans = (
+            touched.groupBy(by_id.alias("bucket"))
+            .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+            .collect()
+        )
+        history = self._history()
+        if not spans:
+            return self._sums(history.where("false"))
+        near = (
+            F.col("bucket").isin([r["bucket"] for r in spans])
+            & (F.col("doc_id") >= F.lit(min(r["low"] for r in spans)))
+            & (F.col("doc_id") <= F.lit(max(r["high"] for r in spans)))
+        )
+        rows = history.where(near)
+        same = (rows["doc_id"] == touched["doc_id"]) & rows["tokenizer"].eqNullSafe(touched["_t"])
+        return self._sums(rows.join(touched, same, "left_semi"))
+
+    def write_state(self) -> str | None:
+        """Sums up all batches; ``None`` if the newest state covers them already.
+
+        A state counts once the list of its batches is complete, which is written
+        last; a failed one is written anew. Nothing else is removed."""
+        batches, states = self.batches(), self._states()
+        name = f"{len(batches):010d}"
+        if not batches or name in states:
+            return None
+        at = f"{self.path}/states/{name}"
+        self._write_buckets(self.documents(), f"{at}/documents")
+        covers = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        covers.coalesce(1).write.mode("overwrite").parquet(f"{at}/covers")
+        return name
+
     def totals(self) -> DataFrame:
         """``(source, lang, tokenizer, n_documents, n_tokens)`` over all batches."""
-        rows = self._read("rollups", self.rollup_schema)
+        paths = [f"{self.path}/rollups/{b}" for b in self.batches()]
+        rows = self._read(paths, self.rollup_schema)
         sums = rows.groupBy(*GROUP).agg(
             F.sum("documents").alias("n_documents"), F.sum("tokens").alias("n_tokens")
         )
@@ -140,7 +242,7 @@ class TokenLedger:
             F.raise_error(F.concat(F.lit("unknown event: "), F.coalesce("event", F.lit("null"))))
         )
         rows = events.select(
-            "doc_id",
+            F.col("doc_id").cast(self.id_type).alias("doc_id"),
             *[F.col(c).cast("string").alias(c) for c in GROUP],
             F.coalesce(F.col("tokens").cast("bigint"), F.lit(0).cast("bigint")).alias("tokens"),
             checked.alias("event"),
@@ -158,16 +260,18 @@ class TokenLedger:
         last = with_id.withColumn("_n", F.row_number().over(latest)).where("_n = 1")
         one = F.lit(1).cast("bigint")
         added = last.where("event <> 'delete'").withColumn("documents", one)
-        signed = without.where("event <> 'delete' OR documents IS NOT NULL").withColumn(
-            "documents", F.coalesce("documents", one)
+        # One bucket holds all of these, so they are summed up first.
+        signed = self._sums(
+            without.where("event <> 'delete' OR documents IS NOT NULL").withColumn(
+                "documents", F.coalesce("documents", one)
+            )
         )
-        deltas = added.drop("_n").unionByName(signed).select("doc_id", *GROUP, "documents", "tokens")
+        columns = ["doc_id", *GROUP, "documents", "tokens"]
+        deltas = added.select(columns).unionByName(signed.select(columns))
         if self.batches():
             # The old count goes, wherever the document was counted under this tokenizer.
-            touched = last.select("doc_id", F.col("tokenizer").alias("_t"))
-            old = self.documents().where("doc_id IS NOT NULL")
-            same = (old["doc_id"] == touched["doc_id"]) & old["tokenizer"].eqNullSafe(touched["_t"])
-            gone = old.join(touched, same, "left_semi").select(
+            touched = with_id.select("doc_id", F.col("tokenizer").alias("_t"))
+            gone = self._counted(touched).select(
                 "doc_id",
                 *GROUP,
                 (-F.col("documents")).alias("documents"),
@@ -175,12 +279,15 @@ class TokenLedger:
             )
             deltas = deltas.unionByName(gone)
         at = f"{self.path}/deltas/{batch}"
-        deltas.write.mode("overwrite").parquet(at)
+        self._write_buckets(deltas, at)
         written = self.spark.read.schema(self.delta_schema).parquet(at)
         sums = written.groupBy(*GROUP).agg(
             F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")
         )
         sums.write.mode("overwrite").parquet(f"{self.path}/rollups/{batch}")
+        covered = int(self._states()[-1]) if self._states() else 0
+        if len(self.batches()) - covered >= self.state_every:
+            self.write_state()
         return True
 
 

@@ -205,6 +205,70 @@ def test_version_change_keeps_documents_without_an_id(spark, tmp_path):
         assert {tuple(r) for r in ledger.totals().collect()} == {("a", None, new, 4, 16 + 4 * more), ("b", "en", new, 1, more)}
 
 
+@pytest.mark.parametrize(("buckets", "state_every"), [(1, 100), (5, 2)])
+def test_states_sum_up_the_batches(spark, tmp_path, buckets, state_every):
+    schema = "event string, doc_id int, source string, lang string, tokenizer string, tokens int, sequence int"
+    drawn = random.Random(buckets)
+    path, counted, free = str(tmp_path / "ledger"), {}, Counter()
+    for n in range(5):
+        # A ledger opened again keeps its buckets, whatever it is asked for.
+        ledger = token_counts.TokenLedger(spark, path, buckets=buckets if n == 0 else 7, state_every=state_every)
+        assert ledger.buckets == buckets
+        events = []
+        for k in range(40 if n == 0 else 6):
+            event, doc = drawn.choice(["insert", "revise", "delete"]), drawn.choice([None, *range(30)])
+            group = (drawn.choice(["a", None]), drawn.choice(["en", "de"]), drawn.choice(["v1", "v2", None]))
+            events.append((event, doc, *group, drawn.randrange(9), k))
+        for event, doc, source, lang, version, tokens, _ in events:
+            if doc is None:
+                free[source, lang, version, tokens] += event != "delete"
+            elif event == "delete":
+                counted.pop((doc, version), None)
+            else:
+                counted[doc, version] = (source, lang, tokens)
+        assert ledger.commit(f"b{n}", spark.createDataFrame(events, schema).repartition(3))
+        assert not ledger.commit(f"b{n}", spark.createDataFrame(events, schema))
+        want = Counter({(s, l, v): 0 for (_, v), (s, l, _) in counted.items()})
+        size = Counter()
+        for (_, v), (s, l, t) in counted.items():
+            want[s, l, v] += 1
+            size[s, l, v] += t
+        for (s, l, v, t), times in free.items():
+            want[s, l, v] += times
+            size[s, l, v] += times * t
+        found = {tuple(r[:3]): tuple(r[3:]) for r in ledger.totals().collect()}
+        assert found == {g: (want[g], size[g]) for g in want if want[g] or size[g]}
+        now = {(r.doc_id, r.tokenizer): (r.source, r.lang, r.tokens) for r in ledger.documents().collect() if r.doc_id is not None}
+        assert now == counted
+    assert len(ledger._states()) == 5 // state_every and ledger.write_state() == "0000000005"
+    # A state that is not complete does not count, and is written anew.
+    batches = ledger.batches()
+    assert {r.batch for r in spark.read.parquet(f"{path}/states/0000000005/covers").collect()} == set(batches)
+    (tmp_path / "ledger/states/0000000009/documents").mkdir(parents=True)
+    assert ledger._states()[-1] == "0000000005" and ledger.write_state() is None
+
+
+def test_a_small_batch_reads_its_buckets(spark, tmp_path, capsys):
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"), "string", state_every=1)
+    schema = "event string, doc_id string, source string, lang string, tokenizer string, tokens bigint"
+    load = [("insert", f"d{n}", "a", "en", "v1", n) for n in range(500)] + [("insert", None, "a", "en", "v1", 1)] * 3
+    assert ledger.commit("load", spark.createDataFrame(load, schema))
+    touched = spark.createDataFrame([("d7", "v1"), ("d450", "v1")], "doc_id string, _t string")
+    found = ledger._counted(touched)
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    buckets = {r.bucket for r in ledger._history().where("doc_id in ('d7', 'd450')").collect()}
+    shown = next(x for x in plan.splitlines() if x.startswith("PartitionFilters"))
+    assert all(f"{b}" in shown for b in buckets) and "bucket" in shown
+    assert "GreaterThanOrEqual(doc_id,d450)" in plan and "LessThanOrEqual(doc_id,d7)" in plan
+    assert sorted(r.tokens for r in found.collect()) == [7, 450]
+    # Nothing touched: rows without an id only.
+    assert ledger.commit("more", spark.createDataFrame(load[-1:], schema))
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v1", 504, sum(range(500)) + 4)]
+    with pytest.raises(ValueError):
+        token_counts.TokenLedger(spark, str(tmp_path / "none"), buckets=0)
+
+
 def test_counts_of_whole_texts(spark):
     docs, expected = spark.createDataFrame(rows(), DOCS), plain(BYTE)
     found = token_counts.count_tokens(docs, BYTE, "v").collect()

@@ -130,3 +130,16 @@ def test_many_combinations_of_properties(spark):
         p[0] for p in people
         if any(all(v is None or v == w for v, w in zip(r[1:], p[1:], strict=True)) for r in refs)
     }
+
+
+def test_people_are_not_dealt_out_by_property(spark):
+    # Few properties, so few tasks: every task would read all people who have one.
+    _, _, people_df, refs_df = sample(spark, 9)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = byexample.matching_people(people_df, refs_df)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)

@@ -13,17 +13,20 @@ remembered.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: Stretches remembered by one worker, and characters of them; twice as many while the
-#: older half ages.
+#: older half ages. Twice that where texts are split by Arrow, which needs less beside it.
 REMEMBERED, REMEMBERED_CHARACTERS = 300_000, 32 << 20
 #: Stretches given to the library at once.
 AT_ONCE = 20_000
@@ -33,7 +36,8 @@ _ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁠　﻿]")
 # Letters that no normalizer here changes other than by lower-casing them, where a
 # blank, the end, or a mark follows that no tokenizer takes together with letters.
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-_ALONE = _LETTERS + r"""(?=[ \t-\r.,;:!?|%$&*#@/()"-]|\Z)"""
+_MARKS = '.,;:!?|%$&*#@/()"-'
+_ALONE = rf"{_LETTERS}(?=[ \t-\r{_MARKS}]|\Z)"
 _WITHOUT_BLANKS = re.compile(rf"{_ALONE}|[^ \t-\r]+")
 # Blanks go with the word after them: one space, at most, joins it.
 _WITH_BLANKS = re.compile(
@@ -72,6 +76,8 @@ class Encoder:
             self.library.pre_tokenizer, ByteLevel
         )
         self.stretches = (_WITH_BLANKS if keeps else _WITHOUT_BLANKS).findall
+        self.encode_cut = self._by_stretches if keeps else self._by_words
+        self.room = 1 if keeps else 2
         self.model = self.library.model
         self.lowers = self.library.normalizer is not None
         self.kind = "H" if self.width == 2 else "I"
@@ -107,23 +113,76 @@ class Encoder:
             part = rest[i : i + AT_ONCE]
             self.known.update(zip(part, self._encode(part), strict=True))
 
+    def _remember(self, met: set[str]) -> None:
+        if new := met.difference(self.known):
+            self._learn(new)
+            self.characters += sum(map(len, new))
+
+    def _by_stretches(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are cut everywhere, each stretch looked up by itself."""
+        cut = [self.stretches(t) for t in texts]
+        self._remember(set().union(*cut))
+        return [b"".join(map(self.known.__getitem__, own)) for own in cut]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """The same where blanks have no ids: Arrow splits the texts at blanks, only the
+        different words are looked up, and Arrow puts their ids in a row again."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        met = words.values.dictionary_encode()
+        different = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+        placed = pa.array(self._ids_of_words(different), pa.large_binary()).take(met.indices)
+        if not len(placed):
+            return [b""] * len(texts)
+        _, offsets, data = placed.buffers()
+        bounds = np.frombuffer(offsets, "<i8")[words.offsets.to_numpy()].tolist()
+        rows = memoryview(data or b"")
+        return [bytes(rows[a:b]) for a, b in itertools.pairwise(bounds)]
+
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words without blanks; marks after one are no part of it."""
+        known, older, is_plain = self.known, self.older, _PLAIN.fullmatch
+        ids = list(map(known.get, words))
+        rest, learned = [], 0
+        for k in [k for k, own in enumerate(ids) if own is None]:
+            word = letters = words[k]
+            if (own := older.get(word)) is None:
+                letters = word.rstrip(_MARKS)
+                if not is_plain(letters):
+                    rest.append(k)
+                    continue
+                if (own := known.get(letters)) is None and (own := older.get(letters)) is None:
+                    own = self._encode_plain(letters)
+            if letters not in known:
+                known[letters] = own
+                learned += len(letters)
+            if len(letters) == len(word):
+                ids[k] = own
+            elif (end := known.get(word[len(letters) :])) is not None:
+                ids[k] = own + end
+            else:
+                rest.append(k)
+        self.characters += learned
+        cut = [self.stretches(words[k]) for k in rest]
+        self._remember(set().union(*cut))
+        for k, own in zip(rest, cut, strict=True):
+            ids[k] = b"".join(map(known.__getitem__, own))
+        return ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for a missing or empty one."""
-        if len(self.known) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
+        full = len(self.known) > self.room * REMEMBERED
+        if full or self.characters > self.room * REMEMBERED_CHARACTERS:
             self.older, self.known, self.characters = self.known, {}, 0
-        out, cut = [b""] * len(texts), {}
+        out, cut = [b""] * len(texts), []
         for i, text in enumerate(texts):
             if not text:
                 continue
             if any(m in text for m in self.marks) or _ODD_BLANKS.search(text):
                 out[i] = self._encode([text])[0]
             else:
-                cut[i] = self.stretches(text)
-        if new := set().union(*cut.values()).difference(self.known):
-            self._learn(new)
-            self.characters += sum(map(len, new))
-        for i, own in cut.items():
-            out[i] = b"".join(map(self.known.__getitem__, own))
+                cut.append(i)
+        for i, data in zip(cut, self.encode_cut([texts[i] for i in cut]), strict=True):
+            out[i] = data
         return out
 
     def ids(self, data: bytes) -> np.ndarray:

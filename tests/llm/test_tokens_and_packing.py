@@ -64,6 +64,33 @@ def test_memory_of_words_is_bounded(monkeypatch):
     assert len(coder.known) + len(coder.older) < 20
 
 
+def test_memory_of_whole_words_is_bounded(monkeypatch):
+    monkeypatch.setattr("clubledger.llm.tokens.REMEMBERED", 5)
+    coder, expected = encoder(WORD), plain(WORD)
+    monkeypatch.setattr(coder, "known", {})
+    monkeypatch.setattr(coder, "older", {})
+    for text in ("a b. c, d e f g h", "h, i j k l", "a b z!", "q r s t u v w x y", "z A, b! c a."):
+        assert coder.ids(coder.encode([text])[0]).tolist() == expected(text)
+    assert len(coder.known) + len(coder.older) < 40
+
+
+def test_words_are_cut_once_and_not_text_by_text(monkeypatch):
+    # Marks after a word are no part of it; other words are cut once in all texts.
+    coder, expected = encoder(WORD), plain(WORD)
+    monkeypatch.setattr(coder, "known", {})
+    monkeypatch.setattr(coder, "older", {})
+    cut, stretches = [], coder.stretches
+    monkeypatch.setattr(coder, "stretches", lambda t: cut.append(t) or stretches(t))
+    texts = ["The end, the\tEnd.\n", None, "", " \v", "été! été", "a~!b 12, the end.", "Don't~!", "x-ray"]
+    texts = [*texts, *texts[::-1], "end (the end), a.b,c !!", "  the"]
+    found = [coder.ids(data).tolist() for data in coder.encode(texts)]
+    assert found == [expected(t) for t in texts]
+    assert len(cut) == len(set(cut))
+    assert not {"The", "the", "end.", "End.", "été!", "été"} & {w for w in cut if w in coder.known}
+    assert not any(" " in w for w in cut)
+    assert coder.encode([]) == [] and coder.encode([None, " "]) == [b"", b""]
+
+
 def rows():
     rnd = random.Random(5)
     vocabulary = ["word", "another", "Ünlike", "x,", "\n", "longerwordhere", "7"]
